@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep=("doc_id",), name: st
             fps = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*keep, name])
 
-    schema = StructType(docs.select(*keep).schema.fields).add(name, "long")
+    schema = StructType([*docs.select(*keep).schema.fields]).add(name, "long")
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
