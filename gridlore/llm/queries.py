@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import decontamination, hmm, langid, mixing, sharding, simhash, warc
+from gridlore.llm import decontamination, hmm, langid, mixing, sharding, simhash, tokens, topk, warc
 from gridlore.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("key"), F.lit(100)) == 0)
+
+
+def op6_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.histogram(tokens.lengths(table(spark, sf_dir, "documents"), keep=()))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,7 +50,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op2_hmm_score, op3_simhash_components, op4_decontaminate, op7_warc, op8_language_id, op10_shard)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_hmm_score, op3_simhash_components, op4_decontaminate, op5_top_k, op6_token_histogram, op7_warc, op8_language_id, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
