@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.llm import decontamination, hmm, langid, mixing, sharding, simhash, tokens, topk, warc
+from gridlore.llm import decontamination, hmm, langid, lines, mixing, sharding, simhash, tokens, topk, warc
 from gridlore.llm.common import table
 
 
@@ -45,12 +45,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), held_out=key_crc() % 5 == 0)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.documents(table(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 24, "bytes")
 
 
 def queries():
-    return {f.__name__: f for f in (op1_mix_sources, op2_hmm_score, op3_simhash_components, op4_decontaminate, op5_top_k, op6_token_histogram, op7_warc, op8_language_id, op10_shard)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_hmm_score, op3_simhash_components, op4_decontaminate, op5_top_k, op6_token_histogram, op7_warc, op8_language_id, op9_line_dedup, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
