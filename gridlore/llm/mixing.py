@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import stage, word_count
+from gridlore.llm.common import stage, with_word_count
 
 #: Hash buckets of each source, and bins of virtual time from 0 to 2. Both are fixed; they bound what reaches the driver.
 BUCKETS, BINS = 4096, 65536
@@ -56,12 +56,11 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFr
     return t.select("source", "source_size", "rank", "target")
 
 
-def plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights=(1, 2, 3), max_repeats: int = 3, seed: int = 17) -> DataFrame:
-    """docs with `__mix_size`, `__mix_source_size`, `__mix_target`, `__mix_copies` (how often the mix
+def plan(docs: DataFrame, source: str = "source", key: str = "doc_id", weights=(1, 2, 3), max_repeats: int = 3, seed: int = 17) -> DataFrame:
+    """docs, which have `__mix_size` (words), with `__mix_source_size`, `__mix_target`, `__mix_copies` (how often the mix
     takes the document) and `__mix_times` (the virtual finish times of those copies)."""
-    d = docs.withColumn("__mix_size", word_count(F.col(text)) if "__mix_size" not in docs.columns else F.col("__mix_size"))
     h = F.xxhash64(F.lit(seed), F.col(key), F.col("__mix_size"))
-    d = d.withColumn("__mix_hash", h).withColumn("__mix_bucket", F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    d = docs.withColumn("__mix_hash", h).withColumn("__mix_bucket", F.pmod(h, F.lit(BUCKETS)).cast("int"))
     d = d.withColumn("__mix_from", F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name")))
     by_bucket = stage(d.groupBy("__mix_from", "__mix_bucket").agg(F.sum("__mix_size").alias("words")), "mix-buckets")
     sizes = by_bucket.groupBy("__mix_from").agg(F.sum("words").alias("source_size"))
@@ -113,12 +112,12 @@ def _cut(copies: DataFrame, budget: int):
     return F.struct(F.lit(float(m[0])), F.lit(m[1]), F.lit(m[2]).cast("long"), F.lit(m[3]))
 
 
-def mix(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", partitions: int | None = None, **how) -> DataFrame:
     """The mix: docs' columns and `mix_time`, a row for each copy taken, globally range-sorted by virtual finish time.
 
     Ranges are equal widths of virtual time, which hold about equal words, so no sampling pass is needed."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = plan(docs, **how)
+    p = plan(with_word_count(docs, text, docs.columns, "__mix_size"), **how)
     rows = p.select(*docs.columns, F.explode("__mix_times").alias("mix_time"))
     part = F.least(F.floor(F.col("mix_time") * n), F.lit(n - 1)).cast("int")
     return rows.repartitionById(n, part).sortWithinPartitions("mix_time")
@@ -126,7 +125,7 @@ def mix(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, text="text", source="source", key="doc_id", **how) -> DataFrame:
     """Per document: key, size, source_size, target, taken (words, repeats counted), copies."""
-    d = docs.select(F.col(key), F.col(source), word_count(F.col(text)).alias("__mix_size"))
+    d = stage(with_word_count(docs, text, (key, source), "__mix_size"), "mix-sizes")
     p = plan(d, source=source, key=key, **how)
     return p.select(
         F.col(key), F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"),

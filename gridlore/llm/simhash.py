@@ -233,13 +233,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", group_limit: int = 4096) -> DataFrame:
-    """(key, fingerprint in hex, component_id: the least key reachable over links)."""
-    f = stage(fingerprints(docs, text, [key]), "fingerprints")
+def _by_fingerprint(f: DataFrame, key: str, group_limit: int) -> DataFrame:
+    """Rows (key, fp, ...) to (fp, component_id), a row for each fingerprint."""
     nodes = stage(f.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
     roots = components(links(nodes, group_limit=group_limit))
     linked = stage(roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least"), "simhash-roots")
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
-    changed = linked.join(best, "root").select(F.col("node").alias("fp"), "component")
-    by_fp = nodes.join(changed, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    changed = linked.join(best, "root").select(F.col("node").alias("fp"), "component", "root")
+    return nodes.join(changed, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", group_limit: int = 4096) -> DataFrame:
+    """(key, fingerprint in hex, component_id: the least key reachable over links)."""
+    f = stage(fingerprints(docs, text, [key]), "fingerprints")
+    by_fp = _by_fingerprint(f, key, group_limit).drop("root")
     return f.join(by_fp, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", group_limit: int = 4096) -> DataFrame:
+    """The rows of docs with the least key of each component: one row, also where rows repeat; rows without a key only if alone."""
+    f = stage(fingerprints(docs, text, docs.columns, "__fp").withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
+    slim = f.select(F.col(key), F.col("__fp").alias("fp"), F.col("__row"))
+    roots = _by_fingerprint(slim, key, group_limit).select("fp", "root")
+    first = slim.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("__row"))).alias("first"))
+    return f.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").drop("__fp", "__row")
