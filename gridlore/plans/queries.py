@@ -1,9 +1,81 @@
 """Queries over the driver's tables for every feature family and operator, each with the SQL it must equal."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridlore.functions import voxels as V
+from gridlore.operators import intensity, texture, zones
+from gridlore.plans import sql
+
+WIDTH3, WIDTH2 = 5.0, 50.0
+
+
+def g3(spark, sf_dir) -> DataFrame:
+    return V.fixed_width(V.vox3d(spark, sf_dir), ["roi"], WIDTH3)
+
+
+def g2(spark, sf_dir) -> DataFrame:
+    return V.fixed_width(V.vox2d(spark, sf_dir), ["roi"], WIDTH2)
+
+
+SQL3, SQL2 = sql.levels(sql.VOX3D, WIDTH3), sql.levels(sql.VOX2D, WIDTH2)
+
+
+def rounded(df: DataFrame, keys=("roi",)) -> DataFrame:
+    return df.select(*keys, *(F.round(F.col(f"`{c}`"), 6).alias(c) for c in df.columns if c not in keys))
+
+
+def glcm_core(spark, sf_dir) -> DataFrame:
+    """The flagship: co-occurrence features of a volume over 13 directions."""
+    return rounded(texture.glcm(g3(spark, sf_dir), mcc=False).select("roi", *CORE))
+
+
+CORE = ("Contrast", "JointEnergy", "JointEntropy", "Idm")
+FIRST = (
+    "Mean Variance Skewness Kurtosis Minimum Maximum Range Median 10Percentile 90Percentile InterquartileRange MeanAbsoluteDeviation RobustMeanAbsoluteDeviation MedianAbsoluteDeviation "
+    "CoefficientOfVariation QuartileCoefficientOfDispersion StandardDeviation Energy TotalEnergy RootMeanSquared Entropy Uniformity"
+).split()
+IH = [n for n in FIRST if n not in ("StandardDeviation", "Energy", "TotalEnergy", "RootMeanSquared")] + list(sql.IH_OWN)
+IVH = ("VolumeFractionAt10Intensity VolumeFractionAt90Intensity IntensityAt10Volume IntensityAt90Volume VolumeFractionDifferenceBetween10And90Intensity IntensityDifferenceBetween10And90Volume").split()
+GLCM = [n for n in texture.GLCM_FEATURES if n != "MCC"]
+NGTDM = "Coarseness Contrast Busyness Complexity Strength".split()
+GLDM = [*texture.TEMPLATE["gldm"].split(), "DependenceCountEnergy"]
+
+#: name: (query, SQL or None)
+_Q: dict[str, tuple] = {"glcm_core": (glcm_core, sql.glcm(SQL3, CORE))}
+
+
+def add(name, f, text=None, keys=("roi",)):
+    _Q[name] = (lambda spark, sf_dir: rounded(f(spark, sf_dir), keys), text)
+
+
+for _dim, _v, _s, _n in (("3d", g3, SQL3, 3), ("2d", g2, SQL2, 2)):
+    add(f"firstorder_{_dim}", lambda s, d, v=_v: intensity.firstorder(v(s, d)), sql.firstorder(_s, FIRST))
+    add(f"ih_{_dim}", lambda s, d, v=_v: intensity.ih(v(s, d)), sql.ih(_s, IH))
+    add(f"ivh_levels_{_dim}", lambda s, d, v=_v: intensity.ivh(v(s, d)), sql.ivh(_s, IVH))
+    for _m in ("none", "fixed_bin_size", "fixed_bin_number"):
+        add(f"ivh_{_m}_{_dim}", lambda s, d, v=_v, m=_m: intensity.ivh(v(s, d), method=m, bins=100, width=2.5), sql.ivh(_s, IVH, method=_m))
+    add(f"glcm_{_dim}", lambda s, d, v=_v, n=_n: texture.glcm(v(s, d), ndim=n, mcc=False), sql.glcm(_s, GLCM, ndim=_n))
+    add(f"glcm_mcc_{_dim}", lambda s, d, v=_v, n=_n: texture.glcm(v(s, d), ndim=n).select("roi", "MCC"))
+    add(f"glrlm_{_dim}", lambda s, d, v=_v, n=_n: texture.glrlm(v(s, d), ndim=n), sql.glrlm(_s, texture.TEMPLATE["glrlm"].split(), ndim=_n))
+    add(f"gldm_{_dim}", lambda s, d, v=_v, n=_n: texture.gldm(v(s, d), ndim=n), sql.gldm(_s, GLDM, ndim=_n))
+    add(f"ngtdm_{_dim}", lambda s, d, v=_v, n=_n: texture.ngtdm(v(s, d), ndim=n), sql.ngtdm(_s, NGTDM, ndim=_n))
+    add(f"glszm_{_dim}", lambda s, d, v=_v, n=_n: zones.glszm(v(s, d), ndim=n), sql.glszm(_s, texture.TEMPLATE["glszm"].split(), ndim=_n))
+    add(f"gldzm_{_dim}", lambda s, d, v=_v, n=_n: zones.gldzm(v(s, d), ndim=n), sql.gldzm(_s, texture.TEMPLATE["gldzm"].split(), ndim=_n))
+add("gldm_alpha1_3d", lambda s, d: texture.gldm(g3(s, d), alpha=1), sql.gldm(SQL3, GLDM, alpha=1))
+# Slice by slice: pairs and runs of all slices meet in one matrix for each in-plane direction.
+add("glcm_force2d", lambda s, d: texture.glcm(g3(s, d), flat_axis=0, mcc=False, flat_correlation=0.0), sql.glcm(SQL3, GLCM, flat_axis=0, flat_correlation=0.0))
+add("glrlm_force2d", lambda s, d: texture.glrlm(g3(s, d), flat_axis=0), sql.glrlm(SQL3, texture.TEMPLATE["glrlm"].split(), flat_axis=0))
+add("gldm_force2d", lambda s, d: texture.gldm(g3(s, d), flat_axis=0), sql.gldm(SQL3, GLDM, flat_axis=0))
+add("ngtdm_force2d", lambda s, d: texture.ngtdm(g3(s, d), flat_axis=0), sql.ngtdm(SQL3, NGTDM, flat_axis=0))
+add("glszm_force2d", lambda s, d: zones.glszm(g3(s, d), flat_axis=0), sql.glszm(SQL3, texture.TEMPLATE["glszm"].split(), flat_axis=0))
+
 
 def queries():
-    return {}
+    return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for k, (_, s) in _Q.items() if s}
