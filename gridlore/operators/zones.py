@@ -61,9 +61,9 @@ def taxicab_depth(at: np.ndarray) -> np.ndarray:
     return grid[spot]
 
 
-def zones(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None, still_axis: int | None = None) -> DataFrame:
+def zones(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None, batches: int | None = None) -> DataFrame:
     """(keys, zone, i: level, size, depth: least distance to the border). depth_of: another mask (keys, z, y, x) to take the distance in.
-    flat_axis: zones stay in slices across that axis."""
+    flat_axis: zones stay in slices across that axis. batches: many small regions (windows) share a task's call; they are set apart along z."""
     keys = list(keys)
     offsets = half_offsets(ndim, flat_axis)
     flat = 0 if ndim == 2 else flat_axis
@@ -83,22 +83,29 @@ def zones(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         at, g = pdf[list(AXES)].to_numpy(np.int64), pdf["g"].to_numpy(np.int64)
+        if batches:
+            region = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+            low = np.full((region.max() + 1, 3), np.iinfo(np.int64).max)
+            np.minimum.at(low, region, at)
+            at = at - low[region]
+            at[:, 0] += region * (at[:, 0].max() + 3)
         depth = depths(at)
         inside = g > 0
         if not inside.any():
             return pdf[keys].head(0).assign(zone=0, i=0, size=0, depth=0)
         at, g, depth = at[inside], g[inside], depth[inside]
-        z = pd.DataFrame({"zone": label_zones(at, g, offsets), "i": g, "d": depth}).groupby("zone", as_index=False).agg(i=("i", "first"), size=("i", "size"), depth=("d", "min"))
-        for k in keys:
-            z[k] = pdf[k].iloc[0]
-        return z[[*keys, "zone", "i", "size", "depth"]]
+        label = label_zones(at, g, offsets)
+        z = pd.DataFrame({"zone": label, "i": g, "d": depth}).groupby("zone", as_index=False).agg(i=("i", "first"), size=("i", "size"), depth=("d", "min"))
+        first = pdf.loc[inside, keys].iloc[z["zone"].to_numpy()].reset_index(drop=True)  # a zone's number is a voxel of it
+        return pd.concat([first, z], axis=1)[[*keys, "zone", "i", "size", "depth"]]
 
     schema = StructType([v.schema[k] for k in keys]).add("zone", "long").add("i", "long").add("size", "long").add("depth", "long")
-    return rows.groupBy(*keys).applyInPandas(solve, schema)
+    by = [F.pmod(F.xxhash64(*keys), F.lit(batches)).alias("batch")] if batches else keys
+    return rows.groupBy(*by).applyInPandas(solve, schema)
 
 
-def glszm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None) -> DataFrame:
-    m = zones(v, keys, ndim, flat_axis).groupBy(*keys, "i", F.col("size").alias("j")).agg(F.count("*").alias("n"))
+def glszm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, batches: int | None = None) -> DataFrame:
+    m = zones(v, keys, ndim, flat_axis, batches=batches).groupBy(*keys, "i", F.col("size").alias("j")).agg(F.count("*").alias("n"))
     return matrix_features(m, keys, "glszm", voxel_count(v, keys))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions import voxels as V
-from gridlore.operators import intensity, texture, zones
+from gridlore.operators import filters, intensity, preprocess, texture, zones
 from gridlore.plans import sql
 
 WIDTH3, WIDTH2 = 5.0, 50.0
@@ -24,7 +24,8 @@ SQL3, SQL2 = sql.levels(sql.VOX3D, WIDTH3), sql.levels(sql.VOX2D, WIDTH2)
 
 
 def rounded(df: DataFrame, keys=("roi",)) -> DataFrame:
-    return df.select(*keys, *(F.round(F.col(f"`{c}`"), 6).alias(c) for c in df.columns if c not in keys))
+    """Six digits; a value in the middle between two goes up in either engine."""
+    return df.select(*keys, *(F.round(F.col(f"`{c}`").cast("double") + 1e-9, 6).alias(c) for c in df.columns if c not in keys))
 
 
 def glcm_core(spark, sf_dir) -> DataFrame:
@@ -73,6 +74,98 @@ add("ngtdm_force2d", lambda s, d: texture.ngtdm(g3(s, d), flat_axis=0), sql.ngtd
 add("glszm_force2d", lambda s, d: zones.glszm(g3(s, d), flat_axis=0), sql.glszm(SQL3, texture.TEMPLATE["glszm"].split(), flat_axis=0))
 
 
+# Feature maps: the same families, keyed by the window's centre.
+MAP = ("roi", *V.CENTRE)
+
+
+def windowed(spark, sf_dir) -> DataFrame:
+    return V.windows(g3(spark, sf_dir), ["roi"], 1)
+
+
+SQLW = sql.window(SQL3)
+add("map_firstorder", lambda s, d: intensity.firstorder(windowed(s, d), MAP), sql.firstorder(SQLW, FIRST, MAP), MAP)
+add("map_glcm", lambda s, d: texture.glcm(windowed(s, d), MAP, mcc=False), sql.glcm(SQLW, GLCM, MAP), MAP)
+add("map_glrlm", lambda s, d: texture.glrlm(windowed(s, d), MAP), sql.glrlm(SQLW, texture.TEMPLATE["glrlm"].split(), MAP), MAP)
+add("map_gldm", lambda s, d: texture.gldm(windowed(s, d), MAP), sql.gldm(SQLW, GLDM, MAP), MAP)
+add("map_ngtdm", lambda s, d: texture.ngtdm(windowed(s, d), MAP), sql.ngtdm(SQLW, NGTDM, MAP), MAP)
+add("map_glszm", lambda s, d: zones.glszm(windowed(s, d), MAP, batches=64), sql.glszm(SQLW, texture.TEMPLATE["glszm"].split(), MAP), MAP)
+
+# Preprocessing.
+AT = ("roi", "z", "y", "x")
+_at = lambda df: df.select("roi", *(F.col(a).cast("long").alias(a) for a in V.AXES), *(c for c in df.columns if c not in AT))
+
+
+def voxel(name, f, text):
+    add(name, lambda s, d: _at(f(s, d)), text, AT)
+
+
+def _val(source: str, expr: str = "val") -> str:
+    return f"SELECT roi, z, y, x, round({expr} + 1e-9, 6) AS val FROM {source}"
+
+
+_S = "SELECT roi, avg(val) AS m, stddev_pop(val) AS sp, stddev_samp(val) AS ss, max(val) AS hi, min(val) AS lo FROM v GROUP BY roi"
+voxel("discretize_width", lambda s, d: g2(s, d).drop("val"), f"SELECT roi, z, y, x, CAST(g AS DOUBLE) AS g FROM ({SQL2})")
+voxel("discretize_minimum", lambda s, d: V.fixed_width(V.vox2d(s, d), ["roi"], WIDTH2, -100.0).drop("val"), f"SELECT roi, z, y, x, floor((val + 100) / 50.0) + 1 AS g FROM ({sql.VOX2D}) WHERE val >= -100")
+voxel("discretize_count", lambda s, d: V.fixed_count(V.vox2d(s, d), ["roi"], 32).drop("val"), f"WITH v AS ({sql.VOX2D}), s AS ({_S}) SELECT roi, z, y, x, CAST(CASE WHEN hi > lo THEN least(32, floor(32 * (val - lo) / (hi - lo)) + 1) ELSE 17 END AS DOUBLE) AS g FROM v JOIN s USING (roi)")
+voxel("discretize_compact", lambda s, d: V.compacted(g2(s, d), ["roi"]).drop("val"), f"WITH v AS ({SQL2}) SELECT roi, z, y, x, CAST(dense_rank() OVER (PARTITION BY roi ORDER BY g) AS DOUBLE) AS g FROM v")
+voxel("normalize", lambda s, d: preprocess.normalize(V.vox2d(s, d), scale=100, outliers=2), f"WITH v AS ({sql.VOX2D}), s AS ({_S}) {_val('v JOIN s USING (roi)', '100 * greatest(least((val - m) / ss, 2), -2)')}")
+voxel("clip_intensity", lambda s, d: preprocess.clip_intensity(V.vox2d(s, d), -200, 100), f"WITH v AS ({sql.VOX2D}) {_val('v', 'greatest(least(val, 100), -200)')}")
+voxel("resegment_absolute", lambda s, d: preprocess.resegment(V.vox3d(s, d), limits=[10, 40]), f"WITH v AS ({sql.VOX3D}) {_val('v WHERE val BETWEEN 10 AND 40')}")
+voxel("resegment_relative", lambda s, d: preprocess.resegment(V.vox3d(s, d), limits=[0.5], mode="relative"), f"WITH v AS ({sql.VOX3D}), s AS ({_S}) {_val('v JOIN s USING (roi) WHERE val >= hi * 0.5')}")
+voxel("resegment_sigma", lambda s, d: preprocess.resegment(V.vox3d(s, d), limits=[-1, 1], mode="sigma"), f"WITH v AS ({sql.VOX3D}), s AS ({_S}) {_val('v JOIN s USING (roi) WHERE val BETWEEN m - sp AND m + sp')}")
+_MASK = lambda s, d: V.vox3d(s, d).filter((F.col("val") >= 45) & F.col("z").between(2, 4) & F.col("y").between(5, 15))
+_MSQL = "m AS (SELECT * FROM v WHERE val >= 45 AND z BETWEEN 2 AND 4 AND y BETWEEN 5 AND 15)"
+voxel("crop_to_mask", lambda s, d: preprocess.crop(V.vox3d(s, d), _MASK(s, d), pad=(1, 2, 3)), f"WITH v AS ({sql.VOX3D}), {_MSQL}, b AS (SELECT roi, min(z) - 1 AS z0, max(z) + 1 AS z1, min(y) - 2 AS y0, max(y) + 2 AS y1, min(x) - 3 AS x0, max(x) + 3 AS x1 FROM m GROUP BY roi) {_val('v JOIN b USING (roi) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1')}")
+voxel("roi_select", lambda s, d: V.select_roi(V.vox3d(s, d), _MASK(s, d), AT), f"WITH v AS ({sql.VOX3D}), {_MSQL} {_val('v SEMI JOIN m USING (roi, z, y, x)')}")
+voxel("zscore_roi", lambda s, d: preprocess.zscore_roi(V.vox3d(s, d), _MASK(s, d)), f"WITH v AS ({sql.VOX3D}), {_MSQL}, s AS (SELECT roi, avg(val) AS m, stddev_pop(val) AS sp FROM m GROUP BY roi) {_val('v JOIN s USING (roi)', '100 * greatest(least((val - m) / CASE WHEN sp > 0 THEN sp ELSE 1 END, 3), -3) + 300')}")
+voxel("mr_normalize", lambda s, d: preprocess.mr_normalize(V.vox3d(s, d), _MASK(s, d), target=100), f"WITH v AS ({sql.VOX3D}), {_MSQL}, r AS (SELECT roi, median(val) AS r FROM m GROUP BY roi) {_val('v JOIN r USING (roi)', 'val * (100 / r)')}")
+add("check_mask", lambda s, d: preprocess.check_mask(_MASK(s, d)).select("roi", "voxels", "dimensions", "min_z", "max_z", "min_y", "max_y", "min_x", "max_x"), f"WITH v AS ({sql.VOX3D}), {_MSQL} SELECT roi, count(*)::DOUBLE AS voxels, ((max(z) > min(z))::INT + (max(y) > min(y))::INT + (max(x) > min(x))::INT)::DOUBLE AS dimensions, min(z)::DOUBLE AS min_z, max(z)::DOUBLE AS max_z, min(y)::DOUBLE AS min_y, max(y)::DOUBLE AS max_y, min(x)::DOUBLE AS min_x, max(x)::DOUBLE AS max_x FROM m GROUP BY roi")
+add("diagnostics", lambda s, d: preprocess.diagnostics(V.vox3d(s, d)).drop("hash"), f"WITH v AS ({sql.VOX3D}) SELECT roi, count(*)::DOUBLE AS voxels, round(avg(val) + 1e-9, 6) AS mean, round(min(val) + 1e-9, 6) AS minimum, round(max(val) + 1e-9, 6) AS maximum, {', '.join(f'{f}({a})::DOUBLE AS {f}_{a}' for a in 'zyx' for f in ('min', 'max'))}, {', '.join(f'round(avg({a}) + 1e-9, 6) AS centre_{a}' for a in 'zyx')} FROM v GROUP BY roi")
+
+# Image types, over the filled volume.
+DENSE = f"v AS ({sql.VOX3D}), b AS (SELECT roi, min(z) AS z0, max(z) AS z1, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM v GROUP BY roi), bz AS (SELECT *, unnest(range(z0, z1 + 1)) AS z FROM b), bw AS (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM bz), bx AS (SELECT roi, z, y, unnest(range(x0, x1 + 1)) AS x FROM bw), d AS (SELECT roi, z, y, x, coalesce(val, 0) - 20 AS val FROM bx LEFT JOIN v USING (roi, z, y, x))"
+
+
+def filled(spark, sf_dir) -> DataFrame:
+    return filters.dense(V.vox3d(spark, sf_dir), ["roi"]).withColumn("val", F.col("val") - 20)
+
+
+_PEAK = "p AS (SELECT roi, max(abs(val)) AS m FROM d GROUP BY roi)"
+for _n, _e in (("square", "val * val / m"), ("squareroot", "sign(val) * sqrt(abs(val) * m)"), ("logarithm", "sign(val) * ln(abs(val) + 1) * m / ln(m + 1)"), ("exponential", "exp(val * ln(m) / m)")):
+    voxel(f"filter_{_n}", lambda s, d, n=_n: filters.IMAGE_TYPES[n](filled(s, d)), f"WITH {DENSE}, {_PEAK} {_val('d JOIN p USING (roi)', _e)}")
+
+
+def conv_sql(steps, boundary: str, final: str = "val") -> str:
+    """steps: (axis, {offset: weight}) one after the other."""
+    parts, source = [], "d"
+    for n, (axis, taps) in enumerate(steps):
+        size = f"(max({axis}) OVER (PARTITION BY roi) - min({axis}) OVER (PARTITION BY roi) + 1)"
+        i, m = "(a.i + t.o)", "a.n"
+        at = {
+            "wrap": f"(({i} % {m}) + {m}) % {m}", "nearest": f"greatest(0, least({i}, {m} - 1))",
+            "reflect": f"CASE WHEN ((({i} % (2 * {m})) + 2 * {m}) % (2 * {m})) >= {m} THEN 2 * {m} - 1 - ((({i} % (2 * {m})) + 2 * {m}) % (2 * {m})) ELSE ((({i} % (2 * {m})) + 2 * {m}) % (2 * {m})) END",
+            "mirror": f"CASE WHEN ((({i} % (2 * {m} - 2)) + 2 * {m} - 2) % (2 * {m} - 2)) >= {m} THEN 2 * {m} - 2 - ((({i} % (2 * {m} - 2)) + 2 * {m} - 2) % (2 * {m} - 2)) ELSE ((({i} % (2 * {m} - 2)) + 2 * {m} - 2) % (2 * {m} - 2)) END",
+        }[boundary]
+        rest = [a for a in V.AXES if a != axis]
+        rows = ", ".join(f"({o}, CAST({w!r} AS DOUBLE))" for o, w in taps.items())
+        parts.append(f"i{n} AS (SELECT *, {axis} - min({axis}) OVER (PARTITION BY roi) AS i, {size} AS n FROM {source}), c{n} AS (SELECT a.roi, a.z, a.y, a.x, sum(t.w * b.val) AS val FROM i{n} a CROSS JOIN (VALUES {rows}) AS t(o, w) JOIN i{n} b ON b.roi = a.roi AND b.{rest[0]} = a.{rest[0]} AND b.{rest[1]} = a.{rest[1]} AND b.i = {at} GROUP BY a.roi, a.z, a.y, a.x)")
+        source = f"c{n}"
+    return f"WITH {DENSE}, {', '.join(parts)} {_val(source, final)}"
+
+
+voxel("filter_mean", lambda s, d: filters.mean(filled(s, d)), conv_sql([(a, {-1: 1 / 3, 0: 1 / 3, 1: 1 / 3}) for a in V.AXES], "reflect"))
+_laws = [[w / sum(x * x for x in filters.LAWS[k]) ** 0.5 for w in filters.LAWS[k]] for k in ("s5", "e5", "l5")]
+voxel("filter_laws", lambda s, d: filters.laws(filled(s, d)), conv_sql([(a, {2 - i: w for i, w in enumerate(k)}) for a, k in zip(V.AXES, _laws)], "mirror"))
+_wave = [filters.wavelet_taps("coif1", p) for p in "LHL"]
+voxel("filter_wavelet", lambda s, d: filters.wavelet(filled(s, d), combination="LHL"), conv_sql([(a, {3 - i: w for i, w in enumerate(k)}) for a, k in zip(V.AXES, _wave)], "wrap"))
+for _n, _kw in (("log", {"sigma": 1.0}), ("gradient", {}), ("ibsiwavelet", {"combination": "LHH"}), ("gabor", {"axes": (0,), "sigma": 2.0, "wavelength": 4.0}), ("simoncelli", {}), ("riesz", {"order": (1, 0, 0)}), ("lbp2d", {})):
+    voxel(f"filter_{_n}", lambda s, d, n=_n, kw=_kw: filters.IMAGE_TYPES[n](filled(s, d), **kw), None)
+voxel("filter_riesz_steered", lambda s, d: filters.riesz(filled(s, d), order=(0, 1, 0), steering=True), None)
+voxel("filter_laws_rotational", lambda s, d: filters.laws(filled(s, d), kernels="l3e3", rotational=True, energy=2), None)
+voxel("resample_linear", lambda s, d: preprocess.resample(filled(s, d), to=(2.0, 1.5, 2.0)), None)
+voxel("resample_nearest", lambda s, d: preprocess.resample(filled(s, d), to=(2.0, 1.5, 2.0), interpolator="nearest"), None)
+
+
 def queries():
     return {k: f for k, (f, _) in _Q.items()}
 

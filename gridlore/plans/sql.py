@@ -32,7 +32,7 @@ def pair_sql(keys, os) -> str:
 
 
 def rounded(names, keys, source: str, digits: int = 6) -> str:
-    return "SELECT " + ", ".join(keys) + ", " + ", ".join(f'round(CAST("{n}" AS DOUBLE), {digits}) AS "{n}"' for n in names) + f" FROM {source}"
+    return "SELECT " + ", ".join(keys) + ", " + ", ".join(f'round(CAST("{n}" AS DOUBLE) + 1e-9, {digits}) AS "{n}"' for n in names) + f" FROM {source}"
 
 
 def firstorder(v: str, names, keys=("roi",), shift: float = 0.0, volume: float = 1.0) -> str:
@@ -109,7 +109,7 @@ h1 AS (SELECT {kd}, -sum(p * log2(x.px * y.px)) AS hxy1 FROM m JOIN x USING ({kd
 h2 AS (SELECT {kd}, -sum(x.px * y.px * log2(x.px * y.px)) AS hxy2 FROM x JOIN (SELECT {kd}, i AS j, px FROM x) y USING ({kd}) GROUP BY {kd}),
 f AS (SELECT *, CASE WHEN kinds < 2 THEN {flat_correlation} ELSE cov / "SumSquares" END AS "Correlation", CASE WHEN kinds < 2 THEN 0 ELSE ("JointEntropy" - hxy1) / hx END AS "Imc1", CASE WHEN kinds < 2 OR hxy2 <= "JointEntropy" THEN 0 ELSE sqrt(1 - exp(-2 * (hxy2 - "JointEntropy"))) END AS "Imc2"
   FROM a JOIN s USING ({kd}) JOIN t USING ({kd}) JOIN h USING ({kd}) JOIN h1 USING ({kd}) JOIN h2 USING ({kd}))
-SELECT {k}, {", ".join(f'round(avg("{n}"), 6) AS "{n}"' for n in names)} FROM f GROUP BY {k}"""
+SELECT {k}, {", ".join(f'round(avg("{n}") + 1e-9, 6) AS "{n}"' for n in names)} FROM f GROUP BY {k}"""
 
 
 def matrix(m: str, names, keys, count: str | None = None, mean_over: str | None = None, digits: int = 6) -> str:
@@ -120,7 +120,7 @@ def matrix(m: str, names, keys, count: str | None = None, mean_over: str | None
     out = [f"f{x}" for x in range(8)] + ["gi / ns", "gi / (ns * ns)", "gj / ns", "gj / (ns * ns)", f"ns / {nv}", "f3 - mi * mi", "f1 - mj * mj", "ent", "en"]
     chosen = ", ".join(f'{e} AS "{n}"' for e, n in zip(out, names))
     ends = [c for c in keys if c != mean_over]
-    final = f"SELECT {', '.join(ends)}, " + ", ".join((f'round(avg("{n}"), {digits})' if mean_over else f'round("{n}", {digits})') + f' AS "{n}"' for n in names) + " FROM f" + (f" GROUP BY {', '.join(ends)}" if mean_over else "")
+    final = f"SELECT {', '.join(ends)}, " + ", ".join((f'round(avg("{n}") + 1e-9, {digits})' if mean_over else f'round("{n}" + 1e-9, {digits})') + f' AS "{n}"' for n in names) + " FROM f" + (f" GROUP BY {', '.join(ends)}" if mean_over else "")
     return f"""m AS (SELECT {k}, CAST(i AS DOUBLE) AS i, CAST(j AS DOUBLE) AS j, CAST(n AS DOUBLE) AS n FROM ({m})),
 a AS (SELECT {k}, any_value(t.ns) AS ns, any_value(t.nj) AS nj, {", ".join(f"{c} AS f{x}" for x, c in enumerate(cols))}, sum(n * i) / any_value(t.ns) AS mi, sum(n * j) / any_value(t.ns) AS mj, -sum(q * log2(q)) AS ent, sum(n * n) / pow(any_value(t.ns), 2) AS en
   FROM (SELECT *, n / sum(n) OVER (PARTITION BY {k}) AS q FROM m) JOIN (SELECT {k}, sum(n) AS ns, sum(j * n) AS nj FROM m GROUP BY {k}) t USING ({k}) GROUP BY {k}),
