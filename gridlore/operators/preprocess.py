@@ -122,7 +122,7 @@ def decayed_dose(dose: Column, correction: str = "ADMIN", half_life: Column | No
     """Dose (Bq) at the time that PET values are corrected to. Times are timestamps, lengths seconds."""
     if correction == "ADMIN":
         return dose
-    gap = (F.unix_micros(acquired) - F.unix_micros(injected)) / 1e6
+    gap = (F.unix_micros(acquired.cast("timestamp")) - F.unix_micros(injected.cast("timestamp"))) / 1e6
     if correction == "NONE":
         return dose / F.pow(F.lit(2.0), (gap + frame / 2) / half_life)
     if correction == "START":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions import voxels as V
-from gridlore.operators import filters, intensity, preprocess, texture, zones
+from gridlore.operators import filters, intensity, morphology, phenotype, preprocess, shape, texture, zones
 from gridlore.plans import sql
 
 WIDTH3, WIDTH2 = 5.0, 50.0
@@ -160,11 +160,74 @@ _wave = [filters.wavelet_taps("coif1", p) for p in "LHL"]
 voxel("filter_wavelet", lambda s, d: filters.wavelet(filled(s, d), combination="LHL"), conv_sql([(a, {3 - i: w for i, w in enumerate(k)}) for a, k in zip(V.AXES, _wave)], "wrap"))
 for _n, _kw in (("log", {"sigma": 1.0}), ("gradient", {}), ("ibsiwavelet", {"combination": "LHH"}), ("gabor", {"axes": (0,), "sigma": 2.0, "wavelength": 4.0}), ("simoncelli", {}), ("riesz", {"order": (1, 0, 0)}), ("lbp2d", {})):
     voxel(f"filter_{_n}", lambda s, d, n=_n, kw=_kw: filters.IMAGE_TYPES[n](filled(s, d), **kw), None)
-voxel("filter_riesz_steered", lambda s, d: filters.riesz(filled(s, d), order=(0, 1, 0), steering=True), None)
+voxel("filter_riesz_steered", lambda s, d: filters.riesz(filled(s, d), order=(0, 2, 0), steering=True), None)
 voxel("filter_laws_rotational", lambda s, d: filters.laws(filled(s, d), kernels="l3e3", rotational=True, energy=2), None)
 voxel("resample_linear", lambda s, d: preprocess.resample(filled(s, d), to=(2.0, 1.5, 2.0)), None)
 voxel("resample_nearest", lambda s, d: preprocess.resample(filled(s, d), to=(2.0, 1.5, 2.0), interpolator="nearest"), None)
 
+_grad = lambda a: f"(coalesce(lead(val) OVER (PARTITION BY roi, {', '.join(c for c in 'zyx' if c != a)} ORDER BY {a}), val) - coalesce(lag(val) OVER (PARTITION BY roi, {', '.join(c for c in 'zyx' if c != a)} ORDER BY {a}), val)) / 2"
+_Q["filter_gradient"] = (_Q["filter_gradient"][0], f"WITH {DENSE}, q AS (SELECT roi, z, y, x, {', '.join(f'{_grad(a)} AS d{a}' for a in 'zyx')} FROM d) {_val('q', 'sqrt(dz * dz + dy * dy + dx * dx)')}")
+
+# Morphology.
+add("shape_3d", lambda s, d: shape.shape(V.vox3d(s, d).filter("val >= 10"), spacing=(2.0, 1.0, 1.0)))
+add("shape_2d", lambda s, d: shape.shape2d(V.vox3d(s, d).filter("z = 0 and val >= 10")))
+_SPACE = {"z": "z * 2.0", "y": "y", "x": "x"}
+add(
+    "shape_moments", lambda s, d: shape.moments(V.vox3d(s, d), spacing=(2.0, 1.0, 1.0)),
+    f"WITH v AS ({sql.VOX3D}) SELECT roi, count(*)::DOUBLE AS n, {', '.join(f'round(avg({_SPACE[a]}) + 1e-9, 6) AS m{a}, round(sum({_SPACE[a]} * val) / sum(val) + 1e-9, 6) AS w{a}' for a in 'zyx')}, "
+    + ", ".join(f"round(covar_pop({_SPACE[V.AXES[i]]}, {_SPACE[V.AXES[j]]}) + 1e-9, 6) AS c{V.AXES[i]}{V.AXES[j]}" for i in range(3) for j in range(i, 3)) + ", round(avg(val) + 1e-9, 6) AS mean FROM v GROUP BY roi",
+)
+_high = lambda s, d: V.vox3d(s, d).filter("val >= 40")
+_HIGH = f"m AS (SELECT roi, z, y, x FROM ({sql.VOX3D}) WHERE val >= 40)"
+_six = [o for o in morphology.diamond() if any(o)]
+_STEP = f"(VALUES (0, 0, 0), {', '.join(map(str, _six))}) AS o(dz, dy, dx)"
+_DIL = f"dil AS (SELECT DISTINCT roi, z + dz AS z, y + dy AS y, x + dx AS x FROM m CROSS JOIN {_STEP})"
+_ERO = f"ero AS (SELECT roi, z + dz AS z, y + dy AS y, x + dx AS x FROM m CROSS JOIN {_STEP} GROUP BY ALL HAVING count(*) = 7)"
+for _n, _f, _t in (("dilate", morphology.dilate, f"WITH {_HIGH}, {_DIL} SELECT * FROM dil"), ("erode", morphology.erode, f"WITH {_HIGH}, {_ERO} SELECT * FROM ero"), ("shell", morphology.shell, f"WITH {_HIGH}, {_DIL} SELECT * FROM dil ANTI JOIN m USING (roi, z, y, x)"), ("surface", morphology.surface, f"WITH {_HIGH}, {_ERO} SELECT * FROM m ANTI JOIN ero USING (roi, z, y, x)")):
+    voxel(f"morphology_{_n}", lambda s, d, f=_f: f(_high(s, d)), _t)
+
+
+# Phenotyping, over a few maps.
+def maps(spark, sf_dir) -> DataFrame:
+    v = windowed(spark, sf_dir).filter(F.col("cz") < 4)
+    first = intensity.firstorder(v, MAP).select(*MAP, *(F.col(n).alias(f"firstorder_{n}") for n in ("Mean", "Variance", "Maximum")))
+    tone = texture.ngtdm(v, MAP).select(*MAP, *(F.col(n).alias(f"ngtdm_{n}") for n in ("Contrast", "Complexity")))
+    m = first.join(tone, list(MAP)).withColumn("firstorder_Constant", F.lit(1.0))
+    m = m.select("roi", *(F.col(f"c{a}").cast("int").alias(a) for a in V.AXES), *(c for c in m.columns if c not in MAP))
+    return m.persist()  # features are tested before they are clustered
+
+
+_tiers = lambda s, d: phenotype.tiers(phenotype.drop_constant(maps(s, d)))
+_fused = lambda s, d: phenotype.fused(phenotype.drop_constant(maps(s, d)), _tiers(s, d))
+add("phenotype_tiers", lambda s, d: _tiers(s, d).groupBy("roi", "tier").agg(F.count("*").alias("voxels"), F.avg("score").alias("score")), None, ("roi", "tier"))
+add("phenotype_fused_pes", lambda s, d: _fused(s, d).groupBy("roi", "tier", "status").agg(F.count("*").alias("voxels"), F.count_if("pes").alias("pes")), None, ("roi", "tier", "status"))
+add("phenotype_interaction", lambda s, d: phenotype.interaction(_fused(s, d)))
+add("phenotype_habitats", lambda s, d: phenotype.habitats(V.vox3d(s, d)).groupBy("roi", "habitat").agg(F.count("*").alias("voxels")), None, ("roi", "habitat"))
+add("phenotype_global_top", lambda s, d: phenotype.global_top(phenotype.drop_constant(maps(s, d))).groupBy("roi", "chosen").agg(F.count("*").alias("voxels")), None, ("roi", "chosen"))
+voxel("phenotype_distance_core", lambda s, d: phenotype.distance_core(V.vox3d(s, d).filter("val >= 5"), 50), None)
+voxel("phenotype_top_voxels", lambda s, d: phenotype.top_voxels(V.vox3d(s, d), 100), f"WITH v AS ({sql.VOX3D}) SELECT roi, z, y, x, round(val + 1e-9, 6) AS val, row_number() OVER (PARTITION BY roi ORDER BY val DESC, z, y, x)::DOUBLE AS rank FROM v QUALIFY rank <= 100")
+add("phenotype_summary", lambda s, d: phenotype.summarize(V.vox3d(s, d)), f"WITH v AS ({sql.VOX3D}) SELECT roi, 'val' AS feature, round(avg(val) + 1e-9, 6) AS mean, round(stddev_pop(val) + 1e-9, 6) AS std, round(quantile_cont(val, 0.1) + 1e-9, 6) AS p10, round(quantile_cont(val, 0.9) + 1e-9, 6) AS p90 FROM v GROUP BY roi", ("roi", "feature"))
+_Q["phenotype_random_children"] = (
+    lambda s, d: phenotype.random_children(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("case_id"))).select("case_id", F.col("draw").cast("long").alias("draw"), F.col("child").cast("long").alias("child")),
+    "SELECT s_suppkey AS case_id, draw, (strpos('0123456789abcdef', substr(sha256('0|' || s_suppkey || '|' || draw), 2, 1)) - 1) % 2 AS child FROM supplier CROSS JOIN range(50) r(draw)",
+)
+
+
+# PET: administered dose decayed to the acquisition, and the factor to uptake, for each order as if it were a scan.
+def pet(spark, sf_dir) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("dose"), F.col("o_orderdate").alias("t"), (60 + F.col("o_custkey") % 40).cast("double").alias("kg"))
+    later, half, frame = F.col("t") + F.expr("INTERVAL 45 MINUTES"), F.lit(6586.2), F.lit(120.0)
+    doses = {m: preprocess.decayed_dose(F.col("dose") * 1000 + 1, m, half, F.col("t"), later, frame, F.lit(30.0)) for m in ("ADMIN", "NONE", "START")}
+    return o.select("id", *(d.alias(f"dose_{m.lower()}") for m, d in doses.items()), preprocess.suv_scale("CNTS", F.col("kg"), doses["START"], F.lit(3.5)).alias("scale_counts"), preprocess.suv_scale("BQML", F.col("kg"), doses["NONE"]).alias("scale_activity"))
+
+
+_MID = "ln((ln(2) / 6586.2 * 120) / (1 - exp(-(ln(2) / 6586.2 * 120)))) / (ln(2) / 6586.2)"
+add(
+    "pet_uptake", pet,
+    f"WITH o AS (SELECT o_orderkey AS id, o_totalprice * 1000 + 1 AS dose, CAST(60 + o_custkey % 40 AS DOUBLE) AS kg FROM orders), d AS (SELECT id, kg, dose AS a, dose / pow(2, (2700 + 60) / 6586.2) AS n, dose / pow(2, (2700 + {_MID} - 30) / 6586.2) AS s FROM o) "
+    "SELECT id, round(a + 1e-9, 6) AS dose_admin, round(n + 1e-9, 6) AS dose_none, round(s + 1e-9, 6) AS dose_start, round(3.5 * kg * 1000 / s + 1e-9, 6) AS scale_counts, round(kg * 1000 / n + 1e-9, 6) AS scale_activity FROM d", ("id",),
+)
+
 
 def queries():
     return {k: f for k, (f, _) in _Q.items()}
