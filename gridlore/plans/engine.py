@@ -108,7 +108,7 @@ class Engine:
         """case_id, roi_id, image_type, family, feature, value."""
         s = self.config.settings
         image, of_shape, of_features = self.prepare(images, masks)
-        v = self._levels(self._typed(image).join(of_features, ["case_id", *V.AXES]).select(*KEYS, *V.AXES, "val"), KEYS)
+        v = self._levels(self._typed(image).join(of_features, ["case_id", *V.AXES]).select(*KEYS, *V.AXES, "val"), KEYS).persist()
         out = []
         for family, names in (self.config.scalar or {}).items():
             if family in ("shape", "shape2D"):
@@ -133,16 +133,22 @@ class Engine:
         else:  # the whole crop is the kernel's mask
             crop = preprocess.crop(typed.join(of_features.select(*REGION).distinct(), "case_id"), of_features, REGION, (s.kernelRadius,) * 3)
             near = self._levels(crop.select(*KEYS, *V.AXES, "val"), KEYS, False)
-        w = V.windows(near, KEYS, s.kernelRadius, 2 if s.force2D and s.force2Ddimension == 0 else 3, centres=inside)
-        keys, out = (*KEYS, *V.CENTRE), inside.select(*KEYS, *(F.col(a).alias(f"c{a}") for a in V.AXES))
+        w = V.windows(near, KEYS, s.kernelRadius, 2 if s.force2D and s.force2Ddimension == 0 else 3, centres=inside).persist()  # read by every family
+        keys, parts, names_of = (*KEYS, *V.CENTRE), [], []
         for family, names in (self.config.spatial or {}).items():
             wide = zones.glszm(w, keys, flat_axis=_flat(s), batches=256) if family == "glszm" else FAMILIES[family](w, keys, s)
             if family == "firstorder" and not names:
                 wide = wide.drop("StandardDeviation")
             wide = self._chosen(wide, keys, family, names)
-            out = out.join(wide.select(*keys, *(F.col(f"`{c}`").alias(f"{family}_{c}") for c in wide.columns if c not in keys)), list(keys), "left")
+            features = [c for c in wide.columns if c not in keys]
+            names_of.append([f"{family}_{c}" for c in features])
+            parts.append(wide.select(*keys, F.lit(len(parts)).alias("part"), F.array(*(F.col(f"`{c}`").cast("double") for c in features)).alias("values")))
+        # One shuffle brings the families of a centre together; a chain of joins would take one for each.
         init = F.lit(float(s.initValue))
-        return out.select(*KEYS, *(F.col(f"c{a}").alias(a) for a in V.AXES), *(F.coalesce(F.col(f"`{c}`"), init).alias(c) for c in out.columns if c not in keys))
+        rows = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*(F.first(F.when(F.col("part") == n, F.col("values")), ignorenulls=True).alias(f"part{n}") for n in range(len(parts))))
+        centres = inside.select(*KEYS, *(F.col(a).alias(f"c{a}") for a in V.AXES))
+        rows = centres.join(rows, list(keys), "left")
+        return rows.select(*KEYS, *(F.col(f"c{a}").alias(a) for a in V.AXES), *(F.coalesce(F.get(f"part{n}", i), init).alias(c) for n, names in enumerate(names_of) for i, c in enumerate(names)))
 
     def execute(self, images: DataFrame, masks: DataFrame) -> dict[str, DataFrame]:
         """The modes that the config has, each a lazy table."""
