@@ -213,7 +213,8 @@ def vocabulary(docs: DataFrame, text: str = "text", flush: int = 400_000) -> Dat
                 if len(c) > flush:
                     yield _frame(c)
                     c.clear()
-        yield _frame(c)
+        if c:
+            yield _frame(c)
 
     def _frame(c):
         return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in c], "n": np.fromiter(c.values(), np.int64, len(c))})

@@ -1,6 +1,6 @@
 """WARC archives: a Python data source that reads and writes them, and archiving with revisit records.
 
-    spark.dataSource.register(WarcSource)
+    register(spark)
     df.write.format("warc").mode("append").save(folder)
     spark.read.format("warc").load(folder).filter("warc_type = 'response'")
 
@@ -174,7 +174,7 @@ class WarcReader(DataSourceReader):
 
     def _records(self, source, packed: bool):
         raw = io.BytesIO(source) if isinstance(source, bytes) else source
-        stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if packed else io.BufferedReader(raw, 1 << 16) if isinstance(source, bytes) else raw
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if packed else io.BufferedReader(raw, 1 << 16)
         names = [(c, h.lower()) for c, h in HEADERS.items()]
         while line := stream.readline():
             if not line.startswith(b"WARC/"):
@@ -271,6 +271,12 @@ class WarcWriter(DataSourceWriter):
                         pass
 
 
+def register(spark) -> None:
+    """Makes format "warc" known to the session and lets filters reach it."""
+    spark.dataSource.register(WarcSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 REVISIT_BYTES = 100
 
 
@@ -296,8 +302,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 
 def archive(pages: DataFrame, folder: str, **how) -> None:
-    spark = pages.sparkSession
-    spark.dataSource.register(WarcSource)
+    register(pages.sparkSession)
     records(pages, **how).write.format("warc").mode("append").save(folder)
 
 
@@ -307,7 +312,6 @@ def round_trip(pages: DataFrame, key: str = "page_id", folder: str | None = None
     Responses are read with their payloads, whose size and digest are taken anew; of revisits only the headers are."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     archive(pages, folder, key=key, **how)
     kind = pages.schema[key].dataType
     full = spark.read.format("warc").load(folder).filter("warc_type = 'response'")
