@@ -6,11 +6,13 @@ executor never costs more than a stage.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm import decontamination, langid, mixing, sharding, simhash
-from gridlore.llm.common import stage, table
+from gridlore.llm.common import noting, remove, stage, table
 
 #: A text is rejected if no language is found in it (no letter), or if the pooled probability of the best one is below this.
 LEAST_SURE = 0.4
@@ -50,14 +52,32 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, SHARDS, "bytes")
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix_sources), ("shard", shard)]
+#: Folders that the last stage staged; what it returned has been written when the next begins.
+_left: list[str] = []
+
+
+def _tidy(f):
+    """f, which first deletes what the stage before it staged."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        with noting(_left):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _tidy(f)) for f in (language_id, near_dedup, decontaminate, mix_sources, shard)]
 
 #: The first two stages have no SQL form; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
+        docs, before = stage(f(spark, docs, sf_dir), name), written
+        written = [docs.inputFiles()[0].rsplit("/", 1)[0]] if docs.inputFiles() else []
+        remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,37 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_kept: list[str] | None = None
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends here, and a
     lost executor costs no recomputation."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if _kept is not None:
+        _kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting(paths: list[str]):
+    """Within, the folders of staged tables are added to paths, for `remove` once nothing reads them any more."""
+    global _kept
+    before, _kept = _kept, paths
+    try:
+        yield
+    finally:
+        _kept = before
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged folders, in whatever store they are."""
+    while paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
