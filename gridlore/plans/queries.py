@@ -217,14 +217,14 @@ _Q["phenotype_random_children"] = (
 def pet(spark, sf_dir) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("dose"), F.col("o_orderdate").alias("t"), (60 + F.col("o_custkey") % 40).cast("double").alias("kg"))
     later, half, frame = F.col("t") + F.expr("INTERVAL 45 MINUTES"), F.lit(6586.2), F.lit(120.0)
-    doses = {m: preprocess.decayed_dose(F.col("dose") * 1000 + 1, m, half, F.col("t"), later, frame, F.lit(30.0)) for m in ("ADMIN", "NONE", "START")}
+    doses = {m: preprocess.decayed_dose(F.col("dose") / 1000 + 1, m, half, F.col("t"), later, frame, F.lit(30.0)) for m in ("ADMIN", "NONE", "START")}
     return o.select("id", *(d.alias(f"dose_{m.lower()}") for m, d in doses.items()), preprocess.suv_scale("CNTS", F.col("kg"), doses["START"], F.lit(3.5)).alias("scale_counts"), preprocess.suv_scale("BQML", F.col("kg"), doses["NONE"]).alias("scale_activity"))
 
 
 _MID = "ln((ln(2) / 6586.2 * 120) / (1 - exp(-(ln(2) / 6586.2 * 120)))) / (ln(2) / 6586.2)"
 add(
     "pet_uptake", pet,
-    f"WITH o AS (SELECT o_orderkey AS id, o_totalprice * 1000 + 1 AS dose, CAST(60 + o_custkey % 40 AS DOUBLE) AS kg FROM orders), d AS (SELECT id, kg, dose AS a, dose / pow(2, (2700 + 60) / 6586.2) AS n, dose / pow(2, (2700 + {_MID} - 30) / 6586.2) AS s FROM o) "
+    f"WITH o AS (SELECT o_orderkey AS id, o_totalprice / 1000 + 1 AS dose, CAST(60 + o_custkey % 40 AS DOUBLE) AS kg FROM orders), d AS (SELECT id, kg, dose AS a, dose / pow(2, (2700 + 60) / 6586.2) AS n, dose / pow(2, (2700 + {_MID} - 30) / 6586.2) AS s FROM o) "
     "SELECT id, round(a + 1e-9, 6) AS dose_admin, round(n + 1e-9, 6) AS dose_none, round(s + 1e-9, 6) AS dose_start, round(3.5 * kg * 1000 / s + 1e-9, 6) AS scale_counts, round(kg * 1000 / n + 1e-9, 6) AS scale_activity FROM d", ("id",),
 )
 

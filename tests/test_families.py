@@ -49,7 +49,7 @@ def test_mcc_is_the_second_eigenvalue(grid):
         p[m["i"], m["j"]] = m["p"]
         p = p[1:, 1:]
         px = p.sum(1)
-        q = (p / px[:, None]) @ (p / px[None, :].T).T
+        q = (p / px[:, None]) @ (p / px[None, :]).T
         want.append(np.sqrt(np.sort(np.linalg.eigvals(q).real)[-2]))
     near(one(texture.glcm(grid, ndim=2)), MCC=np.mean(want))
 
