@@ -62,8 +62,8 @@ class Engine:
             image = preprocess.normalize(image, ["case_id"], s.normalizeScale, s.removeOutliers)
         if s.resampledPixelSpacing:
             to = s.resampledPixelSpacing[::-1]
-            box = image.groupBy("case_id").agg(F.lit(1).alias("one")).drop("one")
-            whole = filters.dense(m.withColumn("val", F.lit(1.0)).unionByName(image.crossJoin(m.select("roi_id").distinct()).join(box, "case_id", "left_semi").select(*REGION, *V.AXES, F.lit(0.0).alias("val"))).groupBy(*REGION, *V.AXES).agg(F.max("val").alias("val")), REGION)
+            ground = image.join(m.select(*REGION).distinct(), "case_id").select(*REGION, *V.AXES, F.lit(0.0).alias("val"))
+            whole = ground.unionByName(m.withColumn("val", F.lit(1.0))).groupBy(*REGION, *V.AXES).agg(F.max("val").alias("val"))
             m = preprocess.resample(whole, REGION, self.spacing, to, "nearest").filter("val > 0.5").drop("val")
             image = preprocess.resample(image, ["case_id"], self.spacing, to, s.interpolator)
             self.spacing = tuple(float(t or old) for t, old in zip(to, self.spacing))

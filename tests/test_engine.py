@@ -62,6 +62,13 @@ def test_spatial_run(spark, case):
     assert r["firstorder_Mean"] == pytest.approx(np.mean(window)) and r["firstorder_10Percentile"] == pytest.approx(np.percentile(window, 10))
 
 
+def test_resampled_run(spark, case):
+    images, masks = case
+    e = Engine({"setting": {"resampledPixelSpacing": [2, 2, 0]}, "scalar": {"firstorder": ["Mean", "Minimum", "Maximum"]}})
+    r = {x["feature"]: x["value"] for x in e.scalar(images, masks).collect()}
+    assert e.spacing == (1.0, 2.0, 2.0) and -40 <= r["Minimum"] <= r["Mean"] <= r["Maximum"] < 60
+
+
 def test_unfit_regions_fail(spark, case):
     images, masks = case
     with pytest.raises(Exception, match="region not usable"):
