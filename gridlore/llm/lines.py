@@ -102,9 +102,10 @@ def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least
     """Pairs (a, b) of ids of different lines within the threshold, of the lines of at least `least` characters. An id is the line's MD5."""
     every = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).withColumn("n", F.length("line"))
     every = every.filter((F.col("n") >= least) & ~_blank(F.col("line")))
-    one = every.groupBy(F.unhex(F.md5("line")).alias("id")).agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    one = every.select("line", "n").distinct()
     index, probe = signatures(F.col("line"), F.col("n"), threshold, least)
-    keys = one.select(F.xxhash64("line").alias("h"), index.alias("i"), probe.alias("p")).select("h", F.explode(F.concat(F.transform("i", lambda k: F.struct(F.lit(True).alias("own"), k.alias("key"))), F.transform("p", lambda k: F.struct(F.lit(False).alias("own"), k.alias("key"))))).alias("k"))
+    tagged = lambda keys, own: F.transform(keys, lambda k: F.struct(F.lit(own).alias("own"), k.alias("key")))
+    keys = one.select(F.xxhash64("line").alias("h"), index.alias("i"), probe.alias("p")).select("h", F.explode(F.concat(tagged(F.col("i"), True), tagged(F.col("p"), False))).alias("k"))
     keys = keys.select("h", "k.own", "k.key")
     by = Window.partitionBy("key")
     met = keys.withColumn("a", F.min("h").over(by)).withColumn("b", F.max("h").over(by)).filter("a <> b").select("h", "own", "key")
