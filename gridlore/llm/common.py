@@ -32,6 +32,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that goes to Python. Texts are long: Spark's own default of 10,000 rows can be hundreds of MB.
+BATCH_ROWS = 1000
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, after the session's batches for Python have been made smaller, unless they were set by hand."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 _kept: list[str] | None = None
 
 
@@ -93,7 +105,7 @@ def with_word_count(docs: DataFrame, text: str, keep, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, name])
 
     rows = docs.select(*keep)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, StructType([*rows.schema.fields]).add(name, "long"))
+    return lean(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, StructType([*rows.schema.fields]).add(name, "long"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import stage
+from gridlore.llm.common import lean, stage
 
 #: Every ASCII character that is no letter or digit parts words; A-Z become a-z.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], key: str = "doc_i
         if keys:
             yield _shard(keys, lengths, ids)
 
-    return docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(shards, INDEX)
+    return lean(docs).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInPandas(shards, INDEX)
 
 
 def _shard(keys, lengths, ids) -> pd.DataFrame:

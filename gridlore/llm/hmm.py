@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import stage
+from gridlore.llm.common import lean, stage
 
 STATES, CLASSES, SUFFIX, FIXED = 8, 4096, 3, 1 << 16
 #: Shares (1 of n) of the training documents in each round of Baum-Welch.
@@ -192,7 +192,7 @@ def _summed(docs: DataFrame, model) -> np.ndarray:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds=ROUNDS):
     """(start, move, emit) from docs by Baum-Welch."""
-    d = docs.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("rounds"), F.col(key)), F.lit(max(rounds))).alias("h"))
+    d = lean(docs).select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("rounds"), F.col(key)), F.lit(max(rounds))).alias("h"))
     model = None
     for n, share in enumerate(rounds):
         part = d.filter(F.col("h") < max(rounds) // share).select("text")
@@ -219,7 +219,7 @@ def vocabulary(docs: DataFrame, text: str = "text", flush: int = 400_000) -> Dat
     def _frame(c):
         return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in c], "n": np.fromiter(c.values(), np.int64, len(c))})
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return lean(docs).select(F.col(text).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _class(word):

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridlore.llm.common import lean
+
 HIDDEN, CHUNK = 8, 128
 UNKNOWN = "und"
 
@@ -198,7 +200,7 @@ class Identifier:
                 said = [languages[k] if t else UNKNOWN for k, t in zip(best, read)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(np.clip(sure, 0, 1))], names=[*names, pred, score])
 
-        return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(pred, "string").add(score, "double"))
+        return lean(docs).mapInArrow(run, StructType([*docs.schema.fields]).add(pred, "string").add(score, "double"))
 
 
 def identify(docs: DataFrame, held_out=None, key="doc_id", text="text", lang="lang", **how) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridlore.llm.common import stage
+from gridlore.llm.common import lean, stage
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep=("doc_id",), name: st
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*keep, name])
 
     schema = StructType([*docs.select(*keep).schema.fields]).add(name, "long")
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return lean(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 #: A level fixes a segment but for one wildcard: (level, low bit, bits) of the segments it chooses from, given the one before.

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridlore.llm.common import lean
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this public vocabulary cuts text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -49,7 +51,7 @@ def lengths(docs: DataFrame, text: str = "text", keep=("doc_id",), ranks: str =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(n, np.int64))], names=[*keep, name])
 
     schema = StructType([*docs.select(*keep).schema.fields]).add(name, "long")
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return lean(docs).select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def histogram(sizes: DataFrame, name: str = "length") -> DataFrame:
