@@ -189,10 +189,10 @@ for _n, _f, _t in (("dilate", morphology.dilate, f"WITH {_HIGH}, {_DIL} SELECT *
 
 # Phenotyping, over a few maps.
 def maps(spark, sf_dir) -> DataFrame:
-    v = windowed(spark, sf_dir).filter(F.col("cz") < 4)
+    v = windowed(spark, sf_dir)
     first = intensity.firstorder(v, MAP).select(*MAP, *(F.col(n).alias(f"firstorder_{n}") for n in ("Mean", "Variance", "Maximum")))
     tone = texture.ngtdm(v, MAP).select(*MAP, *(F.col(n).alias(f"ngtdm_{n}") for n in ("Contrast", "Complexity")))
-    m = first.join(tone, list(MAP)).withColumn("firstorder_Constant", F.lit(1.0))
+    m = first.join(tone, list(MAP), "left").withColumn("firstorder_Constant", F.lit(1.0))
     m = m.select("roi", *(F.col(f"c{a}").cast("int").alias(a) for a in V.AXES), *(c for c in m.columns if c not in MAP))
     return m.persist()  # features are tested before they are clustered
 
