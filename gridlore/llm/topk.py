@@ -2,16 +2,16 @@
 
 Vectors are turned into integers, floor(scale * x). Pivots (a hashed sample of bounded size) cut the data
 into cells; a cell's summary is its count and radius r. For a query q and a cell with pivot p every score lies
-within q.p - |q| r and q.p + |q| r. So the cells with the highest lower bounds that together hold k + 1 rows
-give the query a score that its k-th best is not below, and only cells whose upper bound reaches it can hold
-a result. Queries are grouped by pivots; a cell's rows are replicated to just the groups with a query that
+within q.p - |q| r and q.p + |q| r. So the cells with the highest lower bounds that together hold k rows
+besides the query's own (as many as have its id) give the query a score that its k-th best is not below, and
+only cells whose upper bound reaches it can hold a result. Queries are grouped by pivots; a cell's rows are replicated to just the groups with a query that
 needs the cell. A group's rows are dealt in slices of bounded size (by a hash of the id, so a cell of very many
 equal vectors is spread too), each slice is solved alone, and the best k of the slices' bests are the result.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components, and rows without an id take no
 part; vectors of other lengths than the query's are no candidates; rows that repeat a candidate's id are separate
-candidates, but never candidates of that id's query; rows that repeat a query's id count as one query; ties go to
-the smaller id; fewer candidates than k are all returned; an empty table gives none. Scores beyond 64 bits stop at
+candidates, but never candidates of that id's query; rows that repeat a query's id count as one query, that of the
+least vector (by its components' bytes); ties go to the smaller id; fewer candidates than k are all returned; an empty table gives none. Scores beyond 64 bits stop at
 the ends of the range.
 """
 
@@ -69,16 +69,18 @@ def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, "key long, v binary, dim int, cell int, dist double")
 
 
-def needs(q: np.ndarray, pivots: np.ndarray, counts: np.ndarray, radii: np.ndarray, k: int) -> np.ndarray:
-    """Which cells each query needs. Bounds are widened a little against rounding."""
+def needs(q: np.ndarray, pivots: np.ndarray, counts: np.ndarray, radii: np.ndarray, k: int, own=1) -> np.ndarray:
+    """Which cells each query needs, if `own` rows (a number, or one for each query) are no candidates of it. Bounds are widened a
+    little against rounding."""
     centre = q.astype(np.float64) @ pivots.astype(np.float64).T
     reach = np.sqrt((q.astype(np.float64) ** 2).sum(1))[:, None] * radii[None, :]
     slack = 1e-9 * (np.abs(centre) + reach) + 1e-6
     low, high = centre - reach - slack, centre + reach + slack
     order = np.argsort(-low, axis=1)
     held = np.cumsum(counts[order], axis=1)
-    enough = (held >= k + 1).argmax(1)  # one more than k: the query itself may be among them
-    floor = np.where(held[:, -1] >= k + 1, np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], -np.inf)
+    least = k + np.broadcast_to(own, len(q))[:, None]  # the query's own rows may all be among them
+    enough = (held >= least).argmax(1)
+    floor = np.where(held[:, -1] >= least[:, 0], np.take_along_axis(low, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], -np.inf)
     return high >= floor[:, None]
 
 
@@ -116,10 +118,10 @@ def _one_length(rows: DataFrame, dim: int, n: int, n_queries: int, is_query, k:
             if len(pdf):
                 q = _matrix(pdf["v"])
                 g = (q.astype(np.float64) @ heads.T - (heads * heads).sum(1) / 2).argmax(1)
-                need = needs(q, pivots[ids], counts[ids], radii[ids], k)
+                need = needs(q, pivots[ids], counts[ids], radii[ids], k, pdf["own"].to_numpy())
                 yield pd.DataFrame({"key": pdf["key"], "v": pdf["v"], "g": g.astype(np.int32), "need": [ids[x].astype(np.int32) for x in need]})
 
-    queries = cells.filter(is_query).dropDuplicates(["key"]).select("key", "v").mapInPandas(group, "key long, v binary, g int, need array<int>")
+    queries = cells.filter(is_query).groupBy("key").agg(F.min("v").alias("v"), F.count("*").alias("own")).mapInPandas(group, "key long, v binary, g int, need array<int>")
     # Salted blocks keep a group that many queries fall into within bounds.
     queries = stage(queries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n_queries // group_queries)))).cast("int")), "queries")
     wanted = stage(queries.select("g", "block", F.explode("need").alias("cell")).distinct(), "needs")
