@@ -8,8 +8,8 @@ training documents (one slot of each class is for words never seen):
 
 so the parameters that every task needs (states x classes) are bounded, while word counts stay a
 distributed table. Baum-Welch counts are summed over partitions as fixed-point numbers (the sum does not
-depend on the order of tasks). Rounds widen the share of documents, by a hash; the last covers all
-training documents, and so do all word and class counts.
+depend on the order of tasks). The start counts and every round cover all training documents, as do all word
+and class counts.
 
 Counts of frequent words (at most `head_words`) are sent to the tasks that score; the rest of each
 document's words are looked up by a join, so the vocabulary may be of any size.
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from gridlore.llm.common import lean, stage
 
 STATES, CLASSES, SUFFIX, FIXED = 8, 4096, 3, 1 << 16
-#: Shares (1 of n) of the training documents in each round of Baum-Welch.
-ROUNDS = (16, 16, 16, 16, 4, 4, 1)
+#: Shares (1 of n) of the training documents in the start counts and in each round of Baum-Welch: all of them.
+ROUNDS = (1, 1, 1)
 #: Longer sequences are cut for the backward pass of training only; scores are of whole texts.
 TRAIN_WORDS = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -4,7 +4,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.llm import topk
+from gridlore.llm import hmm, topk
+
+
+# 2
+def test_every_round_reads_all_documents(spark, monkeypatch):
+    ids = [r["id"] for r in spark.range(200).filter(F.pmod(F.xxhash64(F.lit("rounds"), "id"), F.lit(16)) > 0).collect()]  # none in the first 1/16
+    topics = ["".join(f"{c}{d} " for d in "abcdefgh") * 5 for c in ("xx", "yy", "zz")]
+    docs = spark.createDataFrame([(i, topics[i % 3]) for i in ids], "doc_id long, text string").repartition(3)
+    seen, summed = [], hmm._summed
+    monkeypatch.setattr(hmm, "_summed", lambda d, m: (seen.append(d.count()), summed(d, m))[1])
+    _, _, emit = hmm.train(docs)
+    assert len(seen) > 1 and set(seen) == {len(ids)}
+    assert np.ptp(emit, axis=1).max() > 0.01  # the states differ
 
 
 # 5
