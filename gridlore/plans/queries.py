@@ -170,7 +170,7 @@ _Q["filter_gradient"] = (_Q["filter_gradient"][0], f"WITH {DENSE}, q AS (SELECT
 
 # Morphology.
 add("shape_3d", lambda s, d: shape.shape(V.vox3d(s, d).filter("val >= 10"), spacing=(2.0, 1.0, 1.0)))
-add("shape_2d", lambda s, d: shape.shape2d(V.vox3d(s, d).filter("z = 0 and val >= 10")))
+add("shape_2d", lambda s, d: shape.shape2d(V.vox3d(s, d).filter("val >= 10"), ("roi", "z")), None, ("roi", "z"))
 _SPACE = {"z": "z * 2.0", "y": "y", "x": "x"}
 add(
     "shape_moments", lambda s, d: shape.moments(V.vox3d(s, d), spacing=(2.0, 1.0, 1.0)),
