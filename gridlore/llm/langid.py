@@ -150,18 +150,28 @@ def probabilities(p: dict, texts: list[bytes], chunk: int = CHUNK, rows: int = 2
     return total / np.maximum(counts, 1)[:, None]
 
 
+#: Labels up to which the chances to be drawn are a map in the query; more are joined.
+MAP_LABELS = 1_000
+
+
 def sample(docs: DataFrame, key: str, text: str, lang: str, sample_rows: int, chunk: int = 64) -> pd.DataFrame:
     """(lang, snippet) of at most sample_rows rows. Counts by language come first, without texts; a language's rows are drawn with
     a chance that gives each language an equal share."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["n"] for r in labelled.groupBy(lang).agg(F.count("*").alias("n")).orderBy(lang).limit(10_000).collect()}
+    by_lang = labelled.groupBy(lang).agg(F.count("*").alias("n"))
+    counts = {r[lang]: r["n"] for r in by_lang.limit(MAP_LABELS + 1).collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "snippet": []})
-    share = sample_rows / len(counts)
-    chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])
+    if len(counts) <= MAP_LABELS:
+        share = sample_rows / len(counts)
+        chance = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, share / n)))])[F.col(lang)]
+    else:
+        share = sample_rows / by_lang.count()
+        labelled = labelled.join(by_lang.select(F.col(lang), F.least(F.lit(1.0), share / F.col("n")).alias("__chance")), lang)
+        chance = F.col("__chance")
     h = F.xxhash64(F.lit("sample"), F.col(key))
     place = F.pmod(F.xxhash64(F.lit("place"), F.col(key)), F.greatest(F.length(text) - chunk, F.lit(0)) + 1).cast("int") + 1
-    drawn = labelled.filter(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < chance[F.col(lang)])
+    drawn = labelled.filter(F.pmod(h, F.lit(1_000_003)) / 1_000_003.0 < chance)
     return drawn.select(F.col(lang).alias("lang"), F.substring(F.col(text), place, F.lit(chunk)).alias("snippet"), h.alias("h")).orderBy("h", "snippet").limit(sample_rows).select("lang", "snippet").toPandas()
 
 

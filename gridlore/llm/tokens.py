@@ -74,13 +74,15 @@ def histogram(sizes: DataFrame, name: str = "length") -> DataFrame:
 
 def at_limits(hist: DataFrame, limits: DataFrame, limit: str = "limit") -> DataFrame:
     """Answers of a histogram for any context limits (a column of longs): documents that fit, documents and tokens cut, tokens left."""
-    h = hist.select(F.col("length"), "documents", "tokens")
-    over = F.col("length") > F.col(limit)
-    j = F.broadcast(limits.select(limit).distinct().limit(10_000)).join(h, F.lit(True), "left")  # limits are a stated list
-    return j.groupBy(limit).agg(
-        F.coalesce(F.sum(F.when(~over, F.col("documents"))), F.lit(0)).alias("documents_fitting"),
-        F.coalesce(F.sum(F.when(over, F.col("documents"))), F.lit(0)).alias("documents_cut"),
-        F.coalesce(F.sum(F.when(over, F.col("documents") * F.col(limit)).otherwise(F.col("tokens"))), F.lit(0)).alias("truncated_tokens"),
+    asked = limits.select(F.col(limit).cast("long").alias("at"), F.lit(0).cast("long").alias("documents"), F.lit(0).cast("long").alias("tokens"), F.lit(1).alias("asked")).distinct()
+    rows = hist.select(F.col("length").cast("long").alias("at"), "documents", "tokens", F.lit(0).alias("asked")).unionByName(asked)
+    upto = Window.orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # rows are lengths and limits
+    everything = Window.orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = rows.select("at", "asked", *(F.sum(c).over(w).alias(f"{c}_{n}") for c in ("documents", "tokens") for n, w in (("fit", upto), ("all", everything))))
+    known, cut = F.col("at").isNotNull(), F.col("documents_all") - F.col("documents_fit")
+    return m.filter("asked = 1").select(
+        F.col("at").alias(limit), F.when(known, F.col("documents_fit")).otherwise(0).alias("documents_fitting"), F.when(known, cut).otherwise(0).alias("documents_cut"),
+        F.when(known, F.col("tokens_fit") + cut * F.col("at")).otherwise(F.col("tokens_all")).alias("truncated_tokens"),
     )
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.llm import hmm, topk
+from gridlore.llm import hmm, langid, tokens, topk
 
 
 # 2
@@ -45,3 +45,19 @@ def test_a_query_id_with_different_vectors_is_its_least_one(spark):
     data = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])]
     got = {tuple((r["key_"], r["score"]) for r in topk.top_k(spark.createDataFrame(d, "key_ long, embedding array<double>"), F.col("key") == 20, key="key_").orderBy("rank").collect()) for d in (data, data[::-1])}
     assert len(got) == 1
+
+
+# 6
+def test_every_limit_is_answered(spark):
+    n = np.array([0, 3, 3, 10_500, 20_000])
+    h = tokens.histogram(spark.createDataFrame([(int(x),) for x in n], "length long"))
+    got = {r["id"]: tuple(r)[1:] for r in tokens.at_limits(h, spark.range(10_600), "id").collect()}
+    assert got == {k: ((n <= k).sum(), (n > k).sum(), np.minimum(n, k).sum()) for k in range(10_600)}
+    none = tokens.at_limits(h.limit(0), spark.range(2), "id").collect()
+    assert sorted(map(tuple, none)) == [(0, 0, 0, 0), (1, 0, 0, 0)]
+
+
+# 8
+def test_every_label_is_drawn(spark):
+    docs = spark.range(10_050).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    assert langid.sample(docs, "doc_id", "text", "lang", 20_000)["lang"].nunique() == 10_050
