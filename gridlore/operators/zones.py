@@ -1,7 +1,8 @@
 """Connected zones of equal level, their size and distance matrices, and components in general.
 
-Zones of a region are found where its voxels meet in one task (union of neighbours in numpy). Regions too
-large for that are handled by `components`: min-label rounds over an edge table, checkpointed.
+Zones of a region are found where its voxels meet in one task (union of neighbours in numpy), so for `glszm` and
+`gldzm` a region must fit a task. `zones_distributed` finds zones without depths by min-label rounds over an edge
+table, checkpointed; no feature family calls it.
 """
 
 from __future__ import annotations
