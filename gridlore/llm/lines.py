@@ -1,25 +1,38 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
 Lines within `threshold` edits of each other are one class, and so are their chains; of a class only the first
-occurrence (least key, then place) is kept. Lines of fewer than `least` characters are compared exactly.
+occurrence (least key, then text, then place) is kept. Lines of fewer than `least` characters are compared exactly.
 
 Each distinct line is cut into threshold + 1 segments. If two lines are within the threshold, one of them has a
 segment of the other, of like length, at nearly the same place. A line is indexed under its segments and probes,
 for each length up to `threshold` shorter, the substrings that could match (from both ends, by how many edits can
-lie on either side). Keys that only one line has are dropped where they are sorted, before any join. Candidates are
-verified inside the join by three tests in turn: lengths; letter counts, of which one edit changes two at most;
-and edit distance, bit-parallel over the band of 2 x threshold + 1 diagonals: for each number of edits a word holds
-the diagonals reached, and all diagonals advance by one character with shifts and masks.
-
-Texts are not shuffled but for those of candidate lines. Copies of a line are one line, however frequent.
-
-Defined cases: null and empty texts have no lines; blank lines are kept and never compared; repeated rows are
-separate documents, the first in reading order counts as first; an empty table gives none.
+lie on either side); where index and probe have the same key, one row stands for both. Keys that only one line has
+are dropped where they are sorted, before any join.
+
+A segment that more than `group_limit` lines have (boilerplate) is not joined. Its lines are cut anew, into more
+segments of which more must be equal at once (two of threshold + 2, then four of threshold + 4), with every way the
+edits can shift them, so what is common to the whole group alone makes no candidates. What is still crowded after
+that is dealt over several tasks.
+
+Candidates are sifted inside the join by lengths and by the parities of letter counts, of which one edit changes two
+at most; each pair is then verified once by its edit distance, bit-parallel over the band of 2 x threshold + 1
+diagonals: for each number of edits a word holds the diagonals reached, and all diagonals advance by one character
+with shifts and masks.
+
+Copies of a line are one line, however frequent; what is known of a line reaches its occurrences by a join in which
+the most frequent lines (at most HOT_SHARES of them, by their share of all lines) are broadcast.
+
+Defined cases: null and empty texts have no lines; blank lines are kept and never compared; very long texts are split
+like any other, and very long lines are compared whole; repeated rows are separate documents, which of two equal ones
+counts as first changes no result; a null key sorts first and is a key like any other; ties go to the least key, text
+and place; an empty table gives none; other columns are not read, or ride along in `deduplicated`, also if they are
+named like a working column (those start with `__line_`, or exist only in tables made here).
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +40,9 @@ from pyspark.sql import functions as F
 from gridlore.llm.common import stage
 from gridlore.llm.simhash import components
 
-THRESHOLD, LEAST = 2, 24
+THRESHOLD, LEAST, GROUP_LIMIT = 2, 24, 64
+#: A line that is at least one in so many of all occurrences is broadcast; there are at most so many of them.
+HOT_SHARES = 2_000
 
 
 def _segment(n, parts: int, i: int):
@@ -37,33 +52,48 @@ def _segment(n, parts: int, i: int):
     return start.cast("int"), (q + F.when(longer >= parts - i + 1, 1).otherwise(0)).cast("int")
 
 
-def _key(n, i: int, piece):
-    return F.xxhash64(n, F.lit(i), piece)
+def _shifts(parts: int, chosen, d: int, threshold: int):
+    """How far the chosen segments (numbers from 1) can be shifted in a line that is d longer: edits before, between and
+    after them are `threshold` at most. For one of threshold + 1 segments, some segment has no more edits on its left than
+    segments there, nor on its right; only that one is sought."""
+    for s in product(range(-threshold, threshold + 1), repeat=len(chosen)):
+        path = (0, *s, d)
+        if sum(abs(y - x) for x, y in zip(path, path[1:])) > threshold:
+            continue
+        if len(chosen) == 1 and parts == threshold + 1 and (abs(s[0]) > chosen[0] - 1 or abs(d - s[0]) > parts - chosen[0]):
+            continue
+        yield s
 
 
-def signatures(line, n, threshold: int, least: int):
-    """(index keys, probe keys) of a line of n characters."""
-    parts, index, probe = threshold + 1, [], []
-    for i in range(1, parts + 1):
-        start, size = _segment(n, parts, i)
-        index.append(_key(n, i, F.substring(line, start + 1, size)))
+def signatures(line, n, threshold: int, least: int, parts: int, intact: int):
+    """(keys, how many of the first of them index the line) of a line of n characters: `intact` of `parts` segments are
+    equal at once. All keys probe; a null is no key."""
+    index, probe = [], []
     for d in range(threshold + 1):
         other = n - d
-        for i in range(1, parts + 1):
-            start, size = _segment(other, parts, i)
-            for shift in range(max(1 - i, d - (parts - i)), min(i - 1, d + parts - i) + 1):
-                fits = (other >= least) & (start + shift >= 0) & (start + shift + size <= n)
-                probe.append(F.when(fits, _key(other, i, F.substring(line, start + shift + 1, size))))
-    return F.array(*index), F.array_compact(F.array(*probe))
+        cut = [_segment(other, parts, i) for i in range(1, parts + 1)]
+        for chosen in combinations(range(1, parts + 1), intact):
+            tag = F.lit(sum(1 << c for c in chosen))
+            for s in _shifts(parts, chosen, d, threshold):
+                places = [(cut[c - 1][0] + x, cut[c - 1][1]) for c, x in zip(chosen, s)]
+                key = F.xxhash64(other, tag, *(F.substring(line, a + 1, size) for a, size in places))
+                if d or any(s):
+                    fits = reduce(lambda x, y: x & y, ((a >= 0) & (a + size <= n) for a, size in places), other >= least)
+                    probe.append(F.when(fits, key))
+                else:
+                    index.append(key)
+    return index + probe, len(index)
 
 
-#: Counted letters; all else is one more class.
-LETTERS = "etaoinshrdlucmfwygpbvk ,.é"
+#: Letters and digits whose counts are told apart by their parity; all else is one more class.
+LETTERS = "etaoinshrdlucmfwygpbvkETAOINSH0123456789 ,.-é"
 
 
-def letter_counts(text):
-    each = [F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS]
-    return F.array(*each, F.length(F.translate(text, LETTERS, "")))
+def parities(text):
+    """A bit for each class of characters: whether their number is odd."""
+    odd = lambda n: F.pmod(n, F.lit(2)).cast("long")
+    each = [F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS] + [F.length(F.translate(text, LETTERS, ""))]
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(odd(n), k) for k, n in enumerate(each)))
 
 
 def within(a, b, threshold: int):
@@ -87,53 +117,84 @@ def within(a, b, threshold: int):
     return (F.abs(gap) <= threshold) & (last.bitwiseAND(F.pow(F.lit(2.0), gap + threshold).cast("int")) != 0)
 
 
+#: What separates words; a line of nothing else is blank.
+SPACE = " \t\n\x0b\x0c\r"
+
+
 def _blank(line):
-    return line.isNull() | ~line.rlike(r"[^\x20\x09-\x0D]")
+    return line.isNull() | (F.ltrim(line, F.lit(SPACE)) == "")
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line (for a text without one, a row without): uid of the document's row, key, place from 0, id (null: blank)."""
-    d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text"))
-    d = d.select("uid", "key", F.posexplode_outer(F.split("text", "\n")).alias("place", "line"))
-    return d.select("uid", "key", "place", F.when(~_blank(F.col("line")), F.unhex(F.md5("line"))).alias("id"))
+    """A row for each line (for a text without one, a row without): uid of the document's row, key, h (of the text), place from 0,
+    id (null: blank)."""
+    d = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    d = d.select("uid", "key", "h", F.posexplode_outer(F.split("text", "\n")).alias("place", "line"))
+    return d.select("uid", "key", "h", "place", F.when(~_blank(F.col("line")), F.unhex(F.md5("line"))).alias("id"))
+
+
+def _met(lines: DataFrame, threshold: int, least: int, parts: int, intact: int) -> DataFrame:
+    """(h, line, n) to (h, own: whether the key indexes the line, key, of: rows of the key), without the keys of one line."""
+    keys, own = signatures(F.col("line"), F.col("n"), threshold, least, parts, intact)
+    k = lines.select("h", F.posexplode(F.array(*keys)).alias("at", "key")).filter(F.col("key").isNotNull())
+    by = Window.partitionBy("key")
+    k = k.select("h", (F.col("at") < own).alias("own"), "key").withColumn("a", F.min("h").over(by)).withColumn("b", F.max("h").over(by)).withColumn("of", F.count("*").over(by))
+    return stage(k.filter("a <> b").select("h", "own", "key", "of"), "line-keys")
+
+
+def _candidates(met: DataFrame, texts: DataFrame, threshold: int, deal: int) -> DataFrame:
+    """Pairs (a, b) of ids that share a key and pass the sieve. A key of more than `deal` rows is dealt over several tasks."""
+    slices = F.greatest(F.lit(1), F.ceil(F.col("of") / deal)).cast("int")
+    side = met.join(texts.select("h", "id", "n", "odd"), "h")
+    a = side.filter("own").select("key", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
+    b = side.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
+    near = (F.col("a") != F.col("b")) & F.col("n_b").between(F.col("n_a"), F.col("n_a") + threshold) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * threshold)
+    return a.join(b, ["key", "slice"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, small_rows: int = 500_000) -> DataFrame:
+def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, small_rows: int = 500_000, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Pairs (a, b) of ids of different lines within the threshold, of the lines of at least `least` characters. An id is the line's MD5."""
     every = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).withColumn("n", F.length("line"))
     every = every.filter((F.col("n") >= least) & ~_blank(F.col("line")))
-    one = every.select("line", "n").distinct()
-    index, probe = signatures(F.col("line"), F.col("n"), threshold, least)
-    tagged = lambda keys, own: F.transform(keys, lambda k: F.struct(F.lit(own).alias("own"), k.alias("key")))
-    keys = one.select(F.xxhash64("line").alias("h"), index.alias("i"), probe.alias("p")).select("h", F.explode(F.concat(tagged(F.col("i"), True), tagged(F.col("p"), False))).alias("k"))
-    keys = keys.select("h", "k.own", "k.key")
-    by = Window.partitionBy("key")
-    met = keys.withColumn("a", F.min("h").over(by)).withColumn("b", F.max("h").over(by)).filter("a <> b").select("h", "own", "key")
-    met = stage(met, "line-keys")
+    met = _met(every.select("line", "n").distinct().select(F.xxhash64("line").alias("h"), "line", "n"), threshold, least, threshold + 1, 1)
     wanted = stage(met.select("h").distinct(), "line-candidates")
     chosen = F.broadcast(wanted) if wanted.count() <= small_rows else wanted
-    texts = every.withColumn("h", F.xxhash64("line")).join(chosen, "h", "left_semi").groupBy("h", F.unhex(F.md5("line")).alias("id")).agg(F.first("line").alias("line"))
-    texts = stage(texts.select("h", "id", letter_counts(F.col("line")).alias("counts"), F.transform(F.split("line", ""), lambda c: F.hash(c)).alias("codes")), "line-texts")
-    side = met.distinct().join(texts, "h")
-    a = side.filter("own").select("key", F.col("id").alias("a"), F.col("counts").alias("counts_a"), F.col("codes").alias("codes_a"))
-    b = side.filter("not own").select("key", F.col("id").alias("b"), F.col("counts").alias("counts_b"), F.col("codes").alias("codes_b"))
-    apart = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (F.abs(F.size("codes_a") - F.size("codes_b")) <= threshold) & (apart <= 2 * threshold) & within(F.col("codes_a"), F.col("codes_b"), threshold)
-    return a.join(b, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST) -> DataFrame:
+    texts = every.withColumn("h", F.xxhash64("line")).join(chosen, "h", "left_semi").groupBy("h", "n", F.unhex(F.md5("line")).alias("id")).agg(F.first("line").alias("line"))
+    texts = stage(texts.select("h", "n", "id", "line", parities(F.col("line")).alias("odd")), "line-texts")
+    found, crowd = _candidates(met.filter(F.col("of") <= group_limit), texts, threshold, group_limit), met
+    for parts, intact in ((threshold + 2, 2), (threshold + 4, 4)):
+        crowded = stage(crowd.filter(F.col("of") > group_limit).select("h").distinct(), "line-crowded")
+        if crowded.isEmpty():
+            crowd = None
+            break
+        crowd = _met(texts.join(crowded, "h", "left_semi"), threshold, least, parts, intact)
+        found = found.unionByName(_candidates(crowd.filter(F.col("of") <= group_limit), texts, threshold, group_limit))
+    if crowd is not None:
+        found = found.unionByName(_candidates(crowd.filter(F.col("of") > group_limit), texts, threshold, group_limit))
+    codes = texts.select("id", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("codes"))
+    pairs = found.distinct().join(codes.withColumnRenamed("id", "a").withColumnRenamed("codes", "x"), "a").join(codes.withColumnRenamed("id", "b").withColumnRenamed("codes", "y"), "b")
+    return pairs.filter(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, **how) -> DataFrame:
     """A row for each line occurrence: uid, key, place, id, class (the least id of its class), kept, exact (a copy of the class's kept line)."""
-    links = stage(edges(docs, text, threshold, least), "line-links")
-    every = stage(occurrences(docs, key, text), "lines")
-    lines, blank = every.filter(F.col("id").isNotNull()), every.filter(F.col("id").isNull())
-    roots = components(links)
-    marked = lines.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("class", F.coalesce("root", "id")).drop("root")
-    here = F.struct("key", "uid", "place", "id")
-    first = marked.groupBy("class").agg(F.min(here).alias("first"), F.count("*").alias("of")).filter("of > 1").drop("of")
-    j = marked.join(first, "class", "left")
-    j = j.select("uid", "key", "place", "id", "class", (F.col("first").isNull() | here.eqNullSafe(F.col("first"))).alias("kept"), (F.col("first.id") == F.col("id")).alias("exact"))
-    return j.unionByName(blank.select("*", F.col("id").alias("class"), F.lit(True).alias("kept"), F.lit(False).alias("exact")))
+    links = stage(edges(docs, text, threshold, least, **how), "line-links")
+    lines = stage(occurrences(docs, key, text), "lines")
+    here = F.struct("key", "h", "uid", "place", "id")
+    each = lines.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("of"))
+    each = each.join(components(links).select(F.col("node").alias("id"), "root"), "id", "left")
+    each = stage(each.filter("of > 1 or root is not null").select("id", "first", "of", F.coalesce("root", "id").alias("class"), F.col("root").isNotNull().alias("linked")), "line-ids")
+    # Of a class of several lines the first occurrence of all counts, of any other class the line's own.
+    first = stage(each.filter("linked").groupBy("class").agg(F.min("first").alias("of_class")), "line-classes")
+    known = stage(each.join(first, "class", "left").select("id", "of", "class", F.coalesce("of_class", "first").alias("first")), "line-firsts")
+    every = lines.count()
+    hot = known.filter(F.col("of") * HOT_SHARES >= every).select("id", F.col("class").alias("hot_class"), F.col("first").alias("hot_first"))
+    j = lines.join(F.broadcast(hot), "id", "left").withColumn("deal", F.when(F.col("hot_class").isNotNull() | F.col("id").isNull(), F.xxhash64("uid", "place")).otherwise(0))
+    rest = known.filter(F.col("of") * HOT_SHARES < every).select("id", F.lit(0).cast("long").alias("deal"), "class", "first")
+    j = j.join(rest, ["id", "deal"], "left").withColumn("class", F.coalesce("hot_class", "class", "id")).withColumn("first", F.coalesce("hot_first", "first"))
+    blank = F.col("id").isNull()
+    kept = blank | F.col("first").isNull() | here.eqNullSafe(F.col("first"))
+    return j.select("uid", "key", "place", "id", "class", kept.alias("kept"), (~blank & F.coalesce(F.col("first.id") == F.col("id"), F.lit(True))).alias("exact"))
 
 
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -151,7 +212,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how
     """docs without the lines that are not kept; their other columns stay."""
     d = stage(docs, "documents")  # the rows' numbers must be the same in both readings
     gone = classes(d, key, text, **how).filter(~F.col("kept")).groupBy("uid").agg(F.collect_set("place").alias("gone"))
-    gone = gone.select(F.col("uid").alias("__uid"), F.col("gone").alias("__gone"))
-    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    j = d.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left")
-    return j.select(*(F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns))
+    gone = gone.select(F.col("uid").alias("__line_uid"), F.col("gone").alias("__line_gone"))
+    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("__line_gone", i))
+    j = d.withColumn("__line_uid", F.monotonically_increasing_id()).join(gone, "__line_uid", "left")
+    return j.select(*(F.when(F.col("__line_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns))
