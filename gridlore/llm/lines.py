@@ -45,7 +45,7 @@ THRESHOLD, LEAST, GROUP_LIMIT = 2, 24, 64
 HOT_SHARES = 2_000
 
 
-def _segment(n, parts: int, i: int):
+def _segment(n, parts: int, i):
     """(start, length), from 0, of part i (from 1) of n characters: the last parts are one longer."""
     q, longer = F.floor(n / parts), n % parts
     start = (i - 1) * q + F.greatest(F.lit(0), longer - (parts - i + 1))
@@ -65,35 +65,34 @@ def _shifts(parts: int, chosen, d: int, threshold: int):
         yield s
 
 
-def signatures(line, n, threshold: int, least: int, parts: int, intact: int):
-    """(keys, how many of the first of them index the line) of a line of n characters: `intact` of `parts` segments are
-    equal at once. All keys probe; a null is no key."""
-    index, probe = [], []
-    for d in range(threshold + 1):
-        other = n - d
-        cut = [_segment(other, parts, i) for i in range(1, parts + 1)]
-        for chosen in combinations(range(1, parts + 1), intact):
-            tag = F.lit(sum(1 << c for c in chosen))
-            for s in _shifts(parts, chosen, d, threshold):
-                places = [(cut[c - 1][0] + x, cut[c - 1][1]) for c, x in zip(chosen, s)]
-                key = F.xxhash64(other, tag, *(F.substring(line, a + 1, size) for a, size in places))
-                if d or any(s):
-                    fits = reduce(lambda x, y: x & y, ((a >= 0) & (a + size <= n) for a, size in places), other >= least)
-                    probe.append(F.when(fits, key))
-                else:
-                    index.append(key)
-    return index + probe, len(index)
+def schemes(threshold: int, parts: int, intact: int):
+    """What is looked up of a line: (how much shorter the other line is, the chosen segments, their shifts). Those with neither
+    also index the line."""
+    return [(d, chosen, s) for d in range(threshold + 1) for chosen in combinations(range(1, parts + 1), intact) for s in _shifts(parts, chosen, d, threshold)]
 
 
-#: Letters and digits whose counts are told apart by their parity; all else is one more class.
-LETTERS = "etaoinshrdlucmfwygpbvkETAOINSH0123456789 ,.-é"
+def signatures(lines: DataFrame, threshold: int, least: int, parts: int, intact: int) -> DataFrame:
+    """(h, line, n) to (tag, key): keys of lines of which `intact` of `parts` segments are equal at once. All keys probe; those with
+    an odd tag index the line too. tag: the even part of h, and that bit."""
+    each = [F.struct(F.lit(d).alias("d"), F.lit(int(not d and not any(s))).alias("own"), *(F.lit(c).alias(f"c{k}") for k, c in enumerate(chosen)), *(F.lit(x).alias(f"s{k}") for k, x in enumerate(s))) for d, chosen, s in schemes(threshold, parts, intact)]
+    x = lines.select("h", "line", "n", F.explode(F.array(*each)).alias("x")).withColumn("other", F.col("n") - F.col("x.d"))
+    places = []
+    for k in range(intact):
+        start, size = _segment(F.col("other"), parts, F.col(f"x.c{k}"))
+        places.append((start + F.col(f"x.s{k}"), size))
+    fits = reduce(lambda x, y: x & y, ((a >= 0) & (a + size <= F.col("n")) for a, size in places), F.col("other") >= least)
+    key = F.xxhash64("other", *(F.col(f"x.c{k}") for k in range(intact)), *(F.substring(F.col("line"), a + 1, size) for a, size in places))
+    return x.filter(fits).select(F.col("h").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("x.own").cast("long")).alias("tag"), key.alias("key"))
 
 
-def parities(text):
-    """A bit for each class of characters: whether their number is odd."""
-    odd = lambda n: F.pmod(n, F.lit(2)).cast("long")
-    each = [F.length(text) - F.length(F.translate(text, c, "")) for c in LETTERS] + [F.length(F.translate(text, LETTERS, ""))]
-    return reduce(lambda x, y: x.bitwiseOR(y), (F.shiftleft(odd(n), k) for k, n in enumerate(each)))
+def codes(line):
+    """The characters of a line as numbers."""
+    return F.transform(F.split(line, ""), lambda c: F.ascii(c))
+
+
+def parities(codes):
+    """A bit for each of 64 classes of characters: whether their number is odd. One edit changes two at most."""
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)))))
 
 
 def within(a, b, threshold: int):
@@ -135,11 +134,10 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def _met(lines: DataFrame, threshold: int, least: int, parts: int, intact: int) -> DataFrame:
     """(h, line, n) to (h, own: whether the key indexes the line, key, of: rows of the key), without the keys of one line."""
-    keys, own = signatures(F.col("line"), F.col("n"), threshold, least, parts, intact)
-    k = lines.select("h", F.posexplode(F.array(*keys)).alias("at", "key")).filter(F.col("key").isNotNull())
-    by = Window.partitionBy("key")
-    k = k.select("h", (F.col("at") < own).alias("own"), "key").withColumn("a", F.min("h").over(by)).withColumn("b", F.max("h").over(by)).withColumn("of", F.count("*").over(by))
-    return stage(k.filter("a <> b").select("h", "own", "key", "of"), "line-keys")
+    by, line = Window.partitionBy("key"), F.shiftright("tag", 1)
+    k = signatures(lines, threshold, least, parts, intact)
+    k = k.select("tag", "key", F.min(line).over(by).alias("a"), F.max(line).over(by).alias("b"), F.count("*").over(by).alias("of")).filter("a <> b")
+    return stage(k.select(F.col("tag").bitwiseAND(F.lit(-2)).alias("h"), (F.col("tag").bitwiseAND(F.lit(1)) == 1).alias("own"), "key", "of"), "line-keys")
 
 
 def _candidates(met: DataFrame, texts: DataFrame, threshold: int, deal: int) -> DataFrame:
@@ -156,11 +154,12 @@ def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least
     """Pairs (a, b) of ids of different lines within the threshold, of the lines of at least `least` characters. An id is the line's MD5."""
     every = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).withColumn("n", F.length("line"))
     every = every.filter((F.col("n") >= least) & ~_blank(F.col("line")))
-    met = _met(every.select("line", "n").distinct().select(F.xxhash64("line").alias("h"), "line", "n"), threshold, least, threshold + 1, 1)
+    h = F.xxhash64("line").bitwiseAND(F.lit(-2))  # lines with the same one are told apart by their ids
+    met = _met(every.select("line", "n").distinct().select(h.alias("h"), "line", "n"), threshold, least, threshold + 1, 1)
     wanted = stage(met.select("h").distinct(), "line-candidates")
     chosen = F.broadcast(wanted) if wanted.count() <= small_rows else wanted
-    texts = every.withColumn("h", F.xxhash64("line")).join(chosen, "h", "left_semi").groupBy("h", "n", F.unhex(F.md5("line")).alias("id")).agg(F.first("line").alias("line"))
-    texts = stage(texts.select("h", "n", "id", "line", parities(F.col("line")).alias("odd")), "line-texts")
+    texts = every.withColumn("h", h).join(chosen, "h", "left_semi").select("h", "n", "line").distinct().withColumn("codes", codes(F.col("line")))
+    texts = stage(texts.select("h", "n", F.unhex(F.md5("line")).alias("id"), "line", "codes", parities(F.col("codes")).alias("odd")), "line-texts")
     found, crowd = _candidates(met.filter(F.col("of") <= group_limit), texts, threshold, group_limit), met
     for parts, intact in ((threshold + 2, 2), (threshold + 4, 4)):
         crowded = stage(crowd.filter(F.col("of") > group_limit).select("h").distinct(), "line-crowded")
@@ -171,8 +170,8 @@ def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least
         found = found.unionByName(_candidates(crowd.filter(F.col("of") <= group_limit), texts, threshold, group_limit))
     if crowd is not None:
         found = found.unionByName(_candidates(crowd.filter(F.col("of") > group_limit), texts, threshold, group_limit))
-    codes = texts.select("id", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("codes"))
-    pairs = found.distinct().join(codes.withColumnRenamed("id", "a").withColumnRenamed("codes", "x"), "a").join(codes.withColumnRenamed("id", "b").withColumnRenamed("codes", "y"), "b")
+    text_of = lambda c, codes: texts.select(F.col("id").alias(c), F.col("codes").alias(codes))
+    pairs = found.distinct().join(text_of("a", "x"), "a").join(text_of("b", "y"), "b")
     return pairs.filter(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
 
