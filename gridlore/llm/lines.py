@@ -14,8 +14,8 @@ segments of which more must be equal at once (two of threshold + 2, then four of
 edits can shift them, so what is common to the whole group alone makes no candidates. What is still crowded after
 that is dealt over several tasks.
 
-Candidates are sifted inside the join by lengths and by the parities of letter counts, of which one edit changes two
-at most; each pair is then verified once by its edit distance, bit-parallel over the band of 2 x threshold + 1
+Candidates are sifted inside the join by lengths and by the parities of the numbers of characters and of neighbouring
+characters, of which one edit changes two and four at most; each pair is then verified once by its edit distance, bit-parallel over the band of 2 x threshold + 1
 diagonals: for each number of edits a word holds the diagonals reached, and all diagonals advance by one character
 with shifts and masks.
 
@@ -91,8 +91,10 @@ def codes(line):
 
 
 def parities(codes):
-    """A bit for each of 64 classes of characters: whether their number is odd. One edit changes two at most."""
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)))))
+    """(odd, odd_pairs): a bit for each of 64 classes of characters, and of neighbouring characters, whether their number is odd. One
+    edit changes two at most of the first, and four of the second."""
+    fold = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)))))
+    return fold(codes), fold(F.transform(codes, lambda c, i: c * 37 + F.coalesce(F.get(codes, i + 1), F.lit(0)) * 11))
 
 
 def within(a, b, threshold: int):
@@ -143,10 +145,12 @@ def _met(lines: DataFrame, threshold: int, least: int, parts: int, intact: int)
 def _candidates(met: DataFrame, texts: DataFrame, threshold: int, deal: int) -> DataFrame:
     """Pairs (a, b) of ids that share a key and pass the sieve. A key of more than `deal` rows is dealt over several tasks."""
     slices = F.greatest(F.lit(1), F.ceil(F.col("of") / deal)).cast("int")
-    side = met.join(texts.select("h", "id", "n", "odd"), "h")
-    a = side.filter("own").select("key", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("odd").alias("odd_a"))
-    b = side.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("odd").alias("odd_b"))
-    near = (F.col("a") != F.col("b")) & F.col("n_b").between(F.col("n_a"), F.col("n_a") + threshold) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2 * threshold)
+    side = met.join(texts.select("h", "id", "n", "odd", "odd_pairs"), "h")
+    own = lambda c: [F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "odd", "odd_pairs"))]
+    a = side.filter("own").select("key", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), *own("a"))
+    b = side.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), *own("b"))
+    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    near = (F.col("a") != F.col("b")) & F.col("n_b").between(F.col("n_a"), F.col("n_a") + threshold) & (differ("odd") <= 2 * threshold) & (differ("odd_pairs") <= 4 * threshold)
     return a.join(b, ["key", "slice"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -159,7 +163,7 @@ def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least
     wanted = stage(met.select("h").distinct(), "line-candidates")
     chosen = F.broadcast(wanted) if wanted.count() <= small_rows else wanted
     texts = every.withColumn("h", h).join(chosen, "h", "left_semi").select("h", "n", "line").distinct().withColumn("codes", codes(F.col("line")))
-    texts = stage(texts.select("h", "n", F.unhex(F.md5("line")).alias("id"), "line", "codes", parities(F.col("codes")).alias("odd")), "line-texts")
+    texts = stage(texts.select("h", "n", F.unhex(F.md5("line")).alias("id"), "line", "codes", *(x.alias(c) for c, x in zip(("odd", "odd_pairs"), parities(F.col("codes"))))), "line-texts")
     found, crowd = _candidates(met.filter(F.col("of") <= group_limit), texts, threshold, group_limit), met
     for parts, intact in ((threshold + 2, 2), (threshold + 4, 4)):
         crowded = stage(crowd.filter(F.col("of") > group_limit).select("h").distinct(), "line-crowded")
