@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from gridlore.llm.common import stage
 from gridlore.llm.simhash import components
 
-THRESHOLD, LEAST, GROUP_LIMIT = 2, 24, 64
+THRESHOLD, LEAST, GROUP_LIMIT = 2, 24, 1024
 #: A line that is at least one in so many of all occurrences is broadcast; there are at most so many of them.
 HOT_SHARES = 2_000
 
@@ -142,13 +142,13 @@ def _met(lines: DataFrame, threshold: int, least: int, parts: int, intact: int)
     return stage(k.select(F.col("tag").bitwiseAND(F.lit(-2)).alias("h"), (F.col("tag").bitwiseAND(F.lit(1)) == 1).alias("own"), "key", "of"), "line-keys")
 
 
-def _candidates(met: DataFrame, texts: DataFrame, threshold: int, deal: int) -> DataFrame:
-    """Pairs (a, b) of ids that share a key and pass the sieve. A key of more than `deal` rows is dealt over several tasks."""
-    slices = F.greatest(F.lit(1), F.ceil(F.col("of") / deal)).cast("int")
+def _candidates(met: DataFrame, texts: DataFrame, threshold: int, deal: int | None = None) -> DataFrame:
+    """Pairs (a, b) of ids that share a key and pass the sieve. deal: a key is dealt over tasks, so many of its rows to each."""
+    slices = F.ceil(F.col("of") / deal).cast("int") if deal else F.lit(1)
     side = met.join(texts.select("h", "id", "n", "odd", "odd_pairs"), "h")
     own = lambda c: [F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "odd", "odd_pairs"))]
     a = side.filter("own").select("key", F.pmod(F.xxhash64("id"), slices).cast("int").alias("slice"), *own("a"))
-    b = side.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), *own("b"))
+    b = side.select("key", (F.explode(F.sequence(F.lit(0), slices - 1)) if deal else F.lit(0)).alias("slice"), *own("b"))
     differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
     near = (F.col("a") != F.col("b")) & F.col("n_b").between(F.col("n_a"), F.col("n_a") + threshold) & (differ("odd") <= 2 * threshold) & (differ("odd_pairs") <= 4 * threshold)
     return a.join(b, ["key", "slice"]).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -164,14 +164,14 @@ def edges(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, least
     chosen = F.broadcast(wanted) if wanted.count() <= small_rows else wanted
     texts = every.withColumn("h", h).join(chosen, "h", "left_semi").select("h", "n", "line").distinct().withColumn("codes", codes(F.col("line")))
     texts = stage(texts.select("h", "n", F.unhex(F.md5("line")).alias("id"), "line", "codes", *(x.alias(c) for c, x in zip(("odd", "odd_pairs"), parities(F.col("codes"))))), "line-texts")
-    found, crowd = _candidates(met.filter(F.col("of") <= group_limit), texts, threshold, group_limit), met
+    found, crowd = _candidates(met.filter(F.col("of") <= group_limit), texts, threshold), met
     for parts, intact in ((threshold + 2, 2), (threshold + 4, 4)):
         crowded = stage(crowd.filter(F.col("of") > group_limit).select("h").distinct(), "line-crowded")
         if crowded.isEmpty():
             crowd = None
             break
         crowd = _met(texts.join(crowded, "h", "left_semi"), threshold, least, parts, intact)
-        found = found.unionByName(_candidates(crowd.filter(F.col("of") <= group_limit), texts, threshold, group_limit))
+        found = found.unionByName(_candidates(crowd.filter(F.col("of") <= group_limit), texts, threshold))
     if crowd is not None:
         found = found.unionByName(_candidates(crowd.filter(F.col("of") > group_limit), texts, threshold, group_limit))
     text_of = lambda c, codes: texts.select(F.col("id").alias(c), F.col("codes").alias(codes))
