@@ -75,7 +75,8 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+#: Bytes that separate words.
+SPACES = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
 def count_words(texts: pa.Array) -> np.ndarray:
@@ -86,7 +87,7 @@ def count_words(texts: pa.Array) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.frombuffer(t.buffers()[1], np.int64, n + 1, t.offset * 8)
     raw = np.frombuffer(t.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    space = _SPACE[raw]
+    space = SPACES[raw]
     begins = ~space
     begins[1:] &= space[:-1]
     first = (ends[:-1] - ends[0])[ends[:-1] < ends[1:]]

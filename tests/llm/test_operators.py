@@ -106,7 +106,7 @@ def test_targets_of_capped_sources(spark):
 def test_scores(docs, rows, empty):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     for head in (1, 150_000):  # all words but a few by the join, or none
-        out = hmm.score(docs, held_out=held, head_words=head, rounds=(2, 1)).collect()
+        out = hmm.score(docs, held_out=held, head_words=head).collect()
         out_of = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         c = Counter(w for r in rows if not out_of(r[0]) for w in [*words(r[1]), None])
         n, v = sum(c.values()), len(c)
@@ -117,7 +117,7 @@ def test_scores(docs, rows, empty):
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out_of(r["doc_id"]), len(t), sum(c[w] > 0 for w in t), n)
             assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
-    assert hmm.score(empty, rounds=(1,)).count() == 0
+    assert hmm.score(empty, rounds=1).count() == 0
 
 
 def test_forward_equals_the_sum_over_all_paths():

@@ -15,7 +15,7 @@ def test_every_round_reads_all_documents(spark, monkeypatch):
     seen, summed = [], hmm._summed
     monkeypatch.setattr(hmm, "_summed", lambda d, m: (seen.append(d.count()), summed(d, m))[1])
     _, _, emit = hmm.train(docs)
-    assert len(seen) > 1 and set(seen) == {len(ids)}
+    assert len(seen) == 1 + hmm.ROUNDS and set(seen) == {len(ids)}
     assert np.ptp(emit, axis=1).max() > 0.01  # the states differ
 
 
