@@ -35,10 +35,6 @@ def select_roi(voxels: DataFrame, mask: DataFrame, on=("z", "y", "x")) -> DataFr
     return voxels.join(mask.select(*on), list(on), "left_semi")
 
 
-def _lowest(v: DataFrame, keys, what):
-    return v.groupBy(*keys).agg(*what)
-
-
 def fixed_width(v: DataFrame, keys, width: float, minimum: float | None = None) -> DataFrame:
     """Levels by bins of a width, aligned to multiples of it, or to minimum (values below drop out)."""
     if minimum is not None:
@@ -81,10 +77,11 @@ def pairs(v: DataFrame, keys, offsets, distances=(1,)) -> DataFrame:
     return a.join(b, [*keys, *AXES])
 
 
-def windows(v: DataFrame, keys, radius: int = 1, ndim: int = 3, centres: DataFrame | None = None) -> DataFrame:
-    """For each voxel (or each of `centres`) the voxels of its window, keyed by keys and the centre cz, cy, cx."""
-    r = range(-radius, radius + 1)
-    cells = [o for o in product((0,) if ndim == 2 else r, r, r)]
+def windows(v: DataFrame, keys, radius: int = 1, ndim: int = 3, centres: DataFrame | None = None, flat_axis: int | None = None) -> DataFrame:
+    """For each voxel (or each of `centres`) the voxels of its window, keyed by keys and the centre cz, cy, cx. flat_axis: windows
+    stay in slices across that axis."""
+    r, still = range(-radius, radius + 1), 0 if ndim == 2 else flat_axis
+    cells = [o for o in product(r, r, r) if still is None or o[still] == 0]
     steps = F.array(*(F.struct(*(F.lit(o[i]).alias(a) for i, a in enumerate(AXES))) for o in cells))
     c = (v if centres is None else centres).select(*keys, *(F.col(a).alias(f"c{a}") for a in AXES), F.explode(steps).alias("s"))
     c = c.select(*keys, *(f"c{a}" for a in AXES), *((F.col(f"c{a}") + F.col(f"s.{a}")).alias(a) for a in AXES))

@@ -8,31 +8,46 @@ from pyspark.sql import functions as F
 NAN = float("nan")
 
 
-def _spread(v: DataFrame, keys, c: str) -> DataFrame:
-    """Mean, percentiles, moments and deviations of a column. Deviations need the statistics first, so they are joined back."""
-    keys = list(keys)
-    x = F.col(c).cast("double")
-    one = v.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(x, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p")
-    )
-    one = one.select(*keys, "n", "mean", "var", "low", "high", *(F.get("p", i).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))))
-    at = v.select(*keys, x.alias("v")).join(one.select(*keys, "mean", "p10", "p50", "p90"), keys)
-    d = F.col("v") - F.col("mean")
-    inside = F.col("v").between(F.col("p10"), F.col("p90"))
-    two = at.groupBy(*keys).agg(
-        F.avg(F.abs(d)).alias("mad"), F.avg(F.abs(F.col("v") - F.col("p50"))).alias("medad"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"), F.avg(F.when(inside, F.col("v"))).alias("robust_mean")
-    )
-    three = at.filter(inside).join(two.select(*keys, "robust_mean"), keys).groupBy(*keys).agg(F.avg(F.abs(F.col("v") - F.col("robust_mean"))).alias("rmad"))
-    s = one.join(two, keys).join(three, keys, "left")
-    # Variance is taken as zero where all values are equal: rounding must not make it a small number.
-    return s.withColumn("var", F.when(F.col("low") == F.col("high"), 0.0).otherwise(F.col("var")))
-
-
-def _histogram(v: DataFrame, keys) -> DataFrame:
-    h = v.groupBy(*keys, "g").agg(F.count("*").alias("c"))
-    n = h.groupBy(*keys).agg(F.sum("c").alias("t"))
-    p = F.col("c") / F.col("t")
-    return h.join(n, list(keys)).groupBy(*keys).agg((-F.sum(p * F.log2(p))).alias("Entropy"), F.sum(p * p).alias("Uniformity"))
+def _counts(v: DataFrame, keys, x, extra=()) -> DataFrame:
+    """(keys, extra, x, c): a row for each value of a region, c of its voxels. All else is over these counts."""
+    return v.groupBy(*keys, *extra, x.cast("double").alias("x")).agg(F.count("*").alias("c"))
+
+
+QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def _placed(counts: DataFrame, keys, order=("x",)) -> DataFrame:
+    """Counts with, in each row, what the region's deviations are taken from: n, mean, quantiles, robust mean. One shuffle by region
+    serves all of it, and a region's rows are streamed from a sort."""
+    every, x, c = Window.partitionBy(*keys), F.col("x"), F.col("c")
+    upto = F.sum("c").over(every.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(every)).withColumn("mean", F.sum(x * c).over(every) / F.col("n"))
+    for name, q in QUANTILES.items():
+        rank = (F.col("n") - 1) * F.lit(q)
+        at = lambda r: F.min(F.when(F.col("upto") > r, x)).over(every)
+        below, above = at(F.floor(rank)), at(F.ceil(rank))
+        d = d.withColumn(name, below + (above - below) * (rank - F.floor(rank)))
+    inside = x.between(F.col("p10"), F.col("p90"))
+    return d.withColumn("inside", F.when(inside, c).otherwise(0)).withColumn("robust_mean", F.try_divide(F.sum(x * F.col("inside")).over(every), F.sum("inside").over(every)))
+
+
+def _statistics():
+    """Aggregates over placed counts."""
+    x, c, n = F.col("x"), F.col("c"), F.first("n")
+    d = x - F.col("mean")
+    return [
+        F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"), *(F.first(q).alias(q) for q in QUANTILES),
+        # Variance is taken as zero where all values are equal: rounding must not make it a small number.
+        F.when(F.min("x") == F.max("x"), 0.0).otherwise(F.sum(c * d * d) / n).alias("var"), (F.sum(c * d * d * d) / n).alias("m3"), (F.sum(c * d * d * d * d) / n).alias("m4"),
+        (F.sum(c * F.abs(d)) / n).alias("mad"), (F.sum(c * F.abs(x - F.col("p50"))) / n).alias("medad"), F.try_divide(F.sum(F.col("inside") * F.abs(x - F.col("robust_mean"))), F.sum("inside")).alias("rmad"),  # null: no value between the quantiles
+    ]
+
+
+def _histogram(level_count):
+    """Entropy and uniformity from rows with c voxels of a level that has level_count."""
+    p = F.col(level_count) / F.col("n")
+    share = F.col("c") / F.col("n")
+    return [(-F.sum(share * F.log2(p))).alias("Entropy"), F.sum(share * p).alias("Uniformity")]
 
 
 def _shape_columns():
@@ -51,9 +66,10 @@ def _shape_columns():
 def firstorder(v: DataFrame, keys=("roi",), shift: float = 0.0, voxel_volume: float = 1.0) -> DataFrame:
     """22 features of `val`; entropy and uniformity of the levels `g`."""
     keys = list(keys)
-    x = F.col("val").cast("double") + shift
-    energy = v.groupBy(*keys).agg(F.sum(x * x).alias("Energy"), F.sqrt(F.avg(x * x)).alias("RootMeanSquared"))
-    s = _spread(v, keys, "val").join(energy, keys).join(_histogram(v, keys), keys)
+    d = _placed(_counts(v, keys, F.col("val"), ["g"]), keys, ("x", "g")).withColumn("of_level", F.sum("c").over(Window.partitionBy(*keys, "g")))
+    x = F.col("x") + shift
+    energy = F.sum(x * x * F.col("c"))
+    s = d.groupBy(*keys).agg(*_statistics(), *_histogram("of_level"), energy.alias("Energy"), F.sqrt(energy / F.first("n")).alias("RootMeanSquared"))
     c = _shape_columns() | {"StandardDeviation": F.sqrt("var"), "Energy": F.col("Energy"), "TotalEnergy": F.col("Energy") * voxel_volume, "RootMeanSquared": F.col("RootMeanSquared"), "Entropy": F.col("Entropy"), "Uniformity": F.col("Uniformity")}
     return s.select(*keys, *(e.cast("double").alias(n) for n, e in c.items()))
 
@@ -61,19 +77,23 @@ def firstorder(v: DataFrame, keys=("roi",), shift: float = 0.0, voxel_volume: fl
 def ih(v: DataFrame, keys=("roi",)) -> DataFrame:
     """23 features of the histogram of levels 1 to the highest, empty ones included."""
     keys = list(keys)
-    s = _spread(v, keys, "g").join(_histogram(v, keys), keys)
-    counts = v.groupBy(*keys, "g").agg(F.count("*").alias("c"))
-    top = s.select(*keys, F.col("mean"), F.explode(F.sequence(F.lit(1), F.col("high").cast("int"))).alias("g"))
-    dense = top.join(counts, [*keys, "g"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    w = Window.partitionBy(*keys).orderBy("g")
-    before, after = F.lag("c").over(w), F.lead("c").over(w)
+    order = Window.partitionBy(*keys).orderBy("x")
+    d = _placed(_counts(v, keys, F.col("g")), keys).withColumn("g", F.col("x").cast("int"))
+    # A level stands for itself and the empty ones up to the next; the first also for those below it.
+    begin = F.when(F.lag("g").over(order).isNull(), F.lit(1)).otherwise(F.col("g"))
+    end = F.greatest(F.coalesce(F.lead("g").over(order) - 1, F.col("g")), F.col("g"))
+    d = d.withColumn("begin", begin).withColumn("end", end).withColumn("at", F.explode(F.sequence("begin", "end")))
+    d = d.withColumn("c", F.when(F.col("at") == F.col("g"), F.col("c")).otherwise(0)).withColumn("inside", F.when(F.col("at") == F.col("g"), F.col("inside")).otherwise(0))
+    order = Window.partitionBy(*keys).orderBy("at")
+    before, after = F.lag("c").over(order), F.lead("c").over(order)
     grad = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col("c")).when(after.isNull(), F.col("c") - before).otherwise((after - before) / 2.0)
-    best = dense.withColumn("d", grad.cast("double")).groupBy(*keys).agg(
-        F.max(F.struct("d", -F.col("g"))).alias("up"), F.min(F.struct("d", "g")).alias("down"), F.max(F.struct(F.col("c"), -F.abs(F.col("g") - F.col("mean")), -F.col("g"))).alias("mode"))
-    s = s.join(best, keys)
+    s = d.withColumn("d", grad.cast("double")).groupBy(*keys).agg(
+        *_statistics(), (-F.sum(F.when(F.col("c") > 0, F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("n"))))).alias("Entropy"), F.sum(F.col("c") / F.col("n") * (F.col("c") / F.col("n"))).alias("Uniformity"),
+        F.max(F.struct("d", -F.col("at"))).alias("up"), F.min(F.struct("d", "at")).alias("down"), F.max(F.struct(F.col("c"), -F.abs(F.col("at") - F.col("mean")), -F.col("at"))).alias("mode"),
+    )
     c = _shape_columns() | {
         "Mode": -F.col("mode.col3"), "Entropy": F.col("Entropy"), "Uniformity": F.col("Uniformity"), "MaximumHistogramGradient": F.col("up.d"), "MaximumHistogramGradientIntensity": -F.col("up.col2"),
-        "MinimumHistogramGradient": F.col("down.d"), "MinimumHistogramGradientIntensity": F.col("down.g"),
+        "MinimumHistogramGradient": F.col("down.d"), "MinimumHistogramGradientIntensity": F.col("down.at"),
     }
     return s.select(*keys, *(e.cast("double").alias(n) for n, e in c.items()))
 

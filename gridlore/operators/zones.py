@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridlore.functions.voxels import AXES, half_offsets, pairs
-from gridlore.operators.texture import matrix_features, voxel_count
+from gridlore.operators.texture import matrix_features
 
 
 def label_zones(at: np.ndarray, g: np.ndarray, offsets) -> np.ndarray:
@@ -107,12 +107,12 @@ def zones(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of:
 
 def glszm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, batches: int | None = None) -> DataFrame:
     m = zones(v, keys, ndim, flat_axis, batches=batches).groupBy(*keys, "i", F.col("size").alias("j")).agg(F.count("*").alias("n"))
-    return matrix_features(m, keys, "glszm", voxel_count(v, keys))
+    return matrix_features(m, keys, "glszm")
 
 
 def gldzm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None) -> DataFrame:
-    m = zones(v, keys, ndim, flat_axis, depth_of).groupBy(*keys, "i", F.col("depth").alias("j")).agg(F.count("*").alias("n"))
-    return matrix_features(m, keys, "gldzm", voxel_count(v, keys))
+    m = zones(v, keys, ndim, flat_axis, depth_of).groupBy(*keys, "i", F.col("depth").alias("j")).agg(F.count("*").alias("n"), F.sum("size").alias("voxels"))
+    return matrix_features(m, keys, "gldzm", F.col("voxels"))
 
 
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -14,6 +14,10 @@ DEFAULT_SCALAR = tuple(f for f in SCALAR if f not in ("shape2D", "gldzm", "ih",
 IGNORED = ("symmetricalGLCM", "weightingNorm", "glcmPythonMCC", "voxelBatch", "segmentClassWorkers", "additionalInfo", "geometryTolerance", "backend", "num_threads", "cudaGlszmTieBreakLowestLabel", "cudaGlszmDeterministicReduction", "cudaGlszmAllowEarlyExit", "cudaGlszmCclSyncInterval", "cudaGlszmCclFlattenInterval")
 
 
+#: Names of interpolators in settings files, and ours.
+INTERPOLATORS = {"sitkBSpline": "bspline", "sitkLinear": "linear", "sitkNearestNeighbor": "nearest"}
+
+
 @dataclass
 class Settings:
     minimumROIDimensions: int = 2
@@ -29,7 +33,7 @@ class Settings:
     resegmentShape: bool = False
     voxelArrayShift: float = 0.0
     resampledPixelSpacing: list | None = None
-    interpolator: str = "linear"
+    interpolator: str = "bspline"
     preCrop: bool = False
     padDistance: int = 5
     force2D: bool = False
@@ -53,8 +57,9 @@ class Settings:
             raise ValueError(f"resegmentMode: {self.resegmentMode}")
         if self.resegmentRange is not None and not 1 <= len(self.resegmentRange) <= 2:
             raise ValueError("resegmentRange needs one or two values")
-        if self.interpolator not in ("linear", "nearest"):
-            raise ValueError(f"interpolator: {self.interpolator}; linear and nearest are offered")
+        self.interpolator = INTERPOLATORS.get(self.interpolator, self.interpolator)
+        if self.interpolator not in INTERPOLATORS.values():
+            raise ValueError(f"interpolator: {self.interpolator}; {', '.join(sorted(INTERPOLATORS.values()))} are offered")
         if self.binWidth <= 0 or (self.binCount is not None and self.binCount <= 0):
             raise ValueError("bins need a positive width or count")
         if self.force2Ddimension not in (0, 1, 2) or self.minimumROIDimensions not in (1, 2, 3):

@@ -6,6 +6,7 @@ cohort is one plan: regions share scans, shuffles and tasks.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -49,12 +50,26 @@ FAMILIES |= {
 
 class Engine:
     def __init__(self, config: Config | dict | str | None = None, spacing=(1.0, 1.0, 1.0), **settings):
-        """spacing: z, y, x in mm, of all images."""
+        """spacing: z, y, x in mm of all images; or a table (case_id, spacing: x, y, z), as the volume source's geometry gives it.
+        With a table all images are brought to one spacing, so resampledPixelSpacing must name one for every axis."""
         self.config = config if isinstance(config, Config) else load(config, **settings)
-        self.spacing = tuple(map(float, spacing))
+        to = self.config.settings.resampledPixelSpacing
+        if isinstance(spacing, DataFrame):
+            if not to or not all(to):
+                raise ValueError("spacing by case needs resampledPixelSpacing for every axis")
+            self.spacing = spacing.select("case_id", *(F.get("spacing", 2 - n).cast("double").alias(f"spacing_{a}") for n, a in enumerate(V.AXES)))
+        else:
+            self.spacing = tuple(map(float, spacing))
+
+    @property
+    def grid_spacing(self) -> tuple:
+        """The spacing (z, y, x) that features are taken in: after resampling."""
+        to = (self.config.settings.resampledPixelSpacing or (0, 0, 0))[::-1]
+        return tuple(map(float, to)) if isinstance(self.spacing, DataFrame) else tuple(float(t or old) for t, old in zip(to, self.spacing))
 
     def prepare(self, images: DataFrame, masks: DataFrame):
-        """(image, region of shape, region of features): checked, normalised, resampled, cropped, resegmented."""
+        """(image, region of shape, region of features): checked, normalised, resampled, cropped, resegmented. Nothing is kept in the
+        engine, so it serves any number of runs."""
         s = self.config.settings
         m = preprocess.label_mask(masks, s.label).select(*REGION, *V.AXES) if "label" in masks.columns else masks.select(*REGION, *V.AXES)
         image = images.select("case_id", *V.AXES, "val")
@@ -66,7 +81,6 @@ class Engine:
             whole = ground.unionByName(m.withColumn("val", F.lit(1.0))).groupBy(*REGION, *V.AXES).agg(F.max("val").alias("val"))
             m = preprocess.resample(whole, REGION, self.spacing, to, "nearest").filter("val > 0.5").drop("val")
             image = preprocess.resample(image, ["case_id"], self.spacing, to, s.interpolator)
-            self.spacing = tuple(float(t or old) for t, old in zip(to, self.spacing))
         elif s.preCrop:
             box = m.groupBy("case_id", *V.AXES).agg(F.lit(1).alias("one"))
             image = preprocess.crop(image, box, ["case_id"], (s.padDistance,) * 3)
@@ -78,15 +92,17 @@ class Engine:
         return image, fine if s.resegmentShape else m, fine
 
     def _typed(self, image: DataFrame) -> DataFrame:
-        """All image types of the images, one below the other."""
-        out = []
+        """All image types of the images, one below the other. Filters that know distances get the grid's spacing, and with force2D
+        the axis that they leave out."""
+        s, out = self.config.settings, []
+        known = {"spacing": self.grid_spacing} | ({"flat_axis": s.force2Ddimension} if s.force2D else {})
         for name, custom in self.config.imageTypes.items():
-            custom = dict(custom or {})
+            custom = {**known, **(custom or {})}
             if name == "wavelet" and "combination" not in custom:
                 bands = filters.wavelet_bands(image, ["case_id"], custom.get("wavelet", "coif1"), custom.get("level", 1), custom.get("start_level", 0))
                 out += [b.withColumn("image_type", F.lit(n)) for n, b in bands]
-            elif name == "log" and "sigma" in custom and isinstance(custom["sigma"], (list, tuple)):
-                out += [filters.log(image, ["case_id"], sigma, self.spacing).withColumn("image_type", F.lit(f"log-sigma-{sigma}".replace(".", "-") + "-mm-3D")) for sigma in custom["sigma"]]
+            elif name == "log" and isinstance(custom.get("sigma"), (list, tuple)):
+                out += [filters.log(image, ["case_id"], **{**custom, "sigma": sigma}).withColumn("image_type", F.lit(f"log-sigma-{sigma}".replace(".", "-") + "-mm-3D")) for sigma in custom["sigma"]]
             else:
                 out.append(filters.IMAGE_TYPES[name](image, ["case_id"], **custom).withColumn("image_type", F.lit(name)))
         return reduce(DataFrame.unionByName, [o.select("case_id", "image_type", *V.AXES, "val") for o in out])
@@ -113,11 +129,11 @@ class Engine:
         for family, names in (self.config.scalar or {}).items():
             if family in ("shape", "shape2D"):
                 w = image.join(of_shape, ["case_id", *V.AXES]).select(*REGION, F.lit("original").alias("image_type"), *V.AXES, "val")
-                wide = shape.shape(w, KEYS, self.spacing) if family == "shape" else shape.shape2d(w, KEYS, self.spacing[1:], "SphericalDisproportion" in (names or ()))
+                wide = shape.shape(w, KEYS, self.grid_spacing) if family == "shape" else shape.shape2d(w, KEYS, self.grid_spacing[1:], "SphericalDisproportion" in (names or ()))
             else:
                 wide = FAMILIES[family](v, KEYS, s)
                 if family == "firstorder":
-                    volume = self.spacing[0] * self.spacing[1] * self.spacing[2]
+                    volume = math.prod(self.grid_spacing)
                     wide = wide.withColumn("TotalEnergy", F.col("TotalEnergy") * volume)
             out.append(V.to_long(self._chosen(wide, KEYS, family, names), KEYS, family))
         return reduce(DataFrame.unionByName, out)
@@ -133,7 +149,7 @@ class Engine:
         else:  # the whole crop is the kernel's mask
             crop = preprocess.crop(typed.join(of_features.select(*REGION).distinct(), "case_id"), of_features, REGION, (s.kernelRadius,) * 3)
             near = self._levels(crop.select(*KEYS, *V.AXES, "val"), KEYS, False)
-        w = V.windows(near, KEYS, s.kernelRadius, 2 if s.force2D and s.force2Ddimension == 0 else 3, centres=inside).persist()  # read by every family
+        w = V.windows(near, KEYS, s.kernelRadius, centres=inside, flat_axis=_flat(s)).persist()  # read by every family
         keys, parts, names_of = (*KEYS, *V.CENTRE), [], []
         for family, names in (self.config.spatial or {}).items():
             wide = zones.glszm(w, keys, flat_axis=_flat(s), batches=256) if family == "glszm" else FAMILIES[family](w, keys, s)

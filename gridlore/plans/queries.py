@@ -34,15 +34,16 @@ def glcm_core(spark, sf_dir) -> DataFrame:
 
 
 CORE = ("Contrast", "JointEnergy", "JointEntropy", "Idm")
+#: Names of features.
 FIRST = (
-    "Mean Variance Skewness Kurtosis Minimum Maximum Range Median 10Percentile 90Percentile InterquartileRange MeanAbsoluteDeviation RobustMeanAbsoluteDeviation MedianAbsoluteDeviation "
-    "CoefficientOfVariation QuartileCoefficientOfDispersion StandardDeviation Energy TotalEnergy RootMeanSquared Entropy Uniformity"
-).split()
+    "Mean", "Variance", "Skewness", "Kurtosis", "Minimum", "Maximum", "Range", "Median", "10Percentile", "90Percentile", "InterquartileRange", "MeanAbsoluteDeviation", "RobustMeanAbsoluteDeviation", "MedianAbsoluteDeviation",
+    "CoefficientOfVariation", "QuartileCoefficientOfDispersion", "StandardDeviation", "Energy", "TotalEnergy", "RootMeanSquared", "Entropy", "Uniformity",
+)
 IH = [n for n in FIRST if n not in ("StandardDeviation", "Energy", "TotalEnergy", "RootMeanSquared")] + list(sql.IH_OWN)
-IVH = ("VolumeFractionAt10Intensity VolumeFractionAt90Intensity IntensityAt10Volume IntensityAt90Volume VolumeFractionDifferenceBetween10And90Intensity IntensityDifferenceBetween10And90Volume").split()
+IVH = ("VolumeFractionAt10Intensity", "VolumeFractionAt90Intensity", "IntensityAt10Volume", "IntensityAt90Volume", "VolumeFractionDifferenceBetween10And90Intensity", "IntensityDifferenceBetween10And90Volume")
 GLCM = [n for n in texture.GLCM_FEATURES if n != "MCC"]
-NGTDM = "Coarseness Contrast Busyness Complexity Strength".split()
-GLDM = [*texture.TEMPLATE["gldm"].split(), "DependenceCountEnergy"]
+NGTDM = ("Coarseness", "Contrast", "Busyness", "Complexity", "Strength")
+GLDM = [*texture.TEMPLATE["gldm"], "DependenceCountEnergy"]
 
 #: name: (query, SQL or None)
 _Q: dict[str, tuple] = {"glcm_core": (glcm_core, sql.glcm(SQL3, CORE))}
@@ -60,18 +61,18 @@ for _dim, _v, _s, _n in (("3d", g3, SQL3, 3), ("2d", g2, SQL2, 2)):
         add(f"ivh_{_m}_{_dim}", lambda s, d, v=_v, m=_m: intensity.ivh(v(s, d), method=m, bins=100, width=2.5), sql.ivh(_s, IVH, method=_m))
     add(f"glcm_{_dim}", lambda s, d, v=_v, n=_n: texture.glcm(v(s, d), ndim=n, mcc=False), sql.glcm(_s, GLCM, ndim=_n))
     add(f"glcm_mcc_{_dim}", lambda s, d, v=_v, n=_n: texture.glcm(v(s, d), ndim=n).select("roi", "MCC"))
-    add(f"glrlm_{_dim}", lambda s, d, v=_v, n=_n: texture.glrlm(v(s, d), ndim=n), sql.glrlm(_s, texture.TEMPLATE["glrlm"].split(), ndim=_n))
+    add(f"glrlm_{_dim}", lambda s, d, v=_v, n=_n: texture.glrlm(v(s, d), ndim=n), sql.glrlm(_s, texture.TEMPLATE["glrlm"], ndim=_n))
     add(f"gldm_{_dim}", lambda s, d, v=_v, n=_n: texture.gldm(v(s, d), ndim=n), sql.gldm(_s, GLDM, ndim=_n))
     add(f"ngtdm_{_dim}", lambda s, d, v=_v, n=_n: texture.ngtdm(v(s, d), ndim=n), sql.ngtdm(_s, NGTDM, ndim=_n))
-    add(f"glszm_{_dim}", lambda s, d, v=_v, n=_n: zones.glszm(v(s, d), ndim=n), sql.glszm(_s, texture.TEMPLATE["glszm"].split(), ndim=_n))
-    add(f"gldzm_{_dim}", lambda s, d, v=_v, n=_n: zones.gldzm(v(s, d), ndim=n), sql.gldzm(_s, texture.TEMPLATE["gldzm"].split(), ndim=_n))
+    add(f"glszm_{_dim}", lambda s, d, v=_v, n=_n: zones.glszm(v(s, d), ndim=n), sql.glszm(_s, texture.TEMPLATE["glszm"], ndim=_n))
+    add(f"gldzm_{_dim}", lambda s, d, v=_v, n=_n: zones.gldzm(v(s, d), ndim=n), sql.gldzm(_s, texture.TEMPLATE["gldzm"], ndim=_n))
 add("gldm_alpha1_3d", lambda s, d: texture.gldm(g3(s, d), alpha=1), sql.gldm(SQL3, GLDM, alpha=1))
 # Slice by slice: pairs and runs of all slices meet in one matrix for each in-plane direction.
 add("glcm_force2d", lambda s, d: texture.glcm(g3(s, d), flat_axis=0, mcc=False, flat_correlation=0.0), sql.glcm(SQL3, GLCM, flat_axis=0, flat_correlation=0.0))
-add("glrlm_force2d", lambda s, d: texture.glrlm(g3(s, d), flat_axis=0), sql.glrlm(SQL3, texture.TEMPLATE["glrlm"].split(), flat_axis=0))
+add("glrlm_force2d", lambda s, d: texture.glrlm(g3(s, d), flat_axis=0), sql.glrlm(SQL3, texture.TEMPLATE["glrlm"], flat_axis=0))
 add("gldm_force2d", lambda s, d: texture.gldm(g3(s, d), flat_axis=0), sql.gldm(SQL3, GLDM, flat_axis=0))
 add("ngtdm_force2d", lambda s, d: texture.ngtdm(g3(s, d), flat_axis=0), sql.ngtdm(SQL3, NGTDM, flat_axis=0))
-add("glszm_force2d", lambda s, d: zones.glszm(g3(s, d), flat_axis=0), sql.glszm(SQL3, texture.TEMPLATE["glszm"].split(), flat_axis=0))
+add("glszm_force2d", lambda s, d: zones.glszm(g3(s, d), flat_axis=0), sql.glszm(SQL3, texture.TEMPLATE["glszm"], flat_axis=0))
 
 
 # Feature maps: the same families, keyed by the window's centre.
@@ -85,10 +86,10 @@ def windowed(spark, sf_dir) -> DataFrame:
 SQLW = sql.window(SQL3)
 add("map_firstorder", lambda s, d: intensity.firstorder(windowed(s, d), MAP), sql.firstorder(SQLW, FIRST, MAP), MAP)
 add("map_glcm", lambda s, d: texture.glcm(windowed(s, d), MAP, mcc=False), sql.glcm(SQLW, GLCM, MAP), MAP)
-add("map_glrlm", lambda s, d: texture.glrlm(windowed(s, d), MAP), sql.glrlm(SQLW, texture.TEMPLATE["glrlm"].split(), MAP), MAP)
+add("map_glrlm", lambda s, d: texture.glrlm(windowed(s, d), MAP), sql.glrlm(SQLW, texture.TEMPLATE["glrlm"], MAP), MAP)
 add("map_gldm", lambda s, d: texture.gldm(windowed(s, d), MAP), sql.gldm(SQLW, GLDM, MAP), MAP)
 add("map_ngtdm", lambda s, d: texture.ngtdm(windowed(s, d), MAP), sql.ngtdm(SQLW, NGTDM, MAP), MAP)
-add("map_glszm", lambda s, d: zones.glszm(windowed(s, d), MAP, batches=64), sql.glszm(SQLW, texture.TEMPLATE["glszm"].split(), MAP), MAP)
+add("map_glszm", lambda s, d: zones.glszm(windowed(s, d), MAP, batches=64), sql.glszm(SQLW, texture.TEMPLATE["glszm"], MAP), MAP)
 
 # Preprocessing.
 AT = ("roi", "z", "y", "x")
@@ -177,8 +178,8 @@ add(
     f"WITH v AS ({sql.VOX3D}) SELECT roi, count(*)::DOUBLE AS n, {', '.join(f'round(avg({_SPACE[a]}) + 1e-9, 6) AS m{a}, round(sum({_SPACE[a]} * val) / sum(val) + 1e-9, 6) AS w{a}' for a in 'zyx')}, "
     + ", ".join(f"round(covar_pop({_SPACE[V.AXES[i]]}, {_SPACE[V.AXES[j]]}) + 1e-9, 6) AS c{V.AXES[i]}{V.AXES[j]}" for i in range(3) for j in range(i, 3)) + ", round(avg(val) + 1e-9, 6) AS mean FROM v GROUP BY roi",
 )
-_high = lambda s, d: V.vox3d(s, d).filter("val >= 40")
-_HIGH = f"m AS (SELECT roi, z, y, x FROM ({sql.VOX3D}) WHERE val >= 40)"
+_high = lambda s, d: V.vox3d(s, d).filter("val >= 2")
+_HIGH = f"m AS (SELECT roi, z, y, x FROM ({sql.VOX3D}) WHERE val >= 2)"
 _six = [o for o in morphology.diamond() if any(o)]
 _STEP = f"(VALUES (0, 0, 0), {', '.join(map(str, _six))}) AS o(dz, dy, dx)"
 _DIL = f"dil AS (SELECT DISTINCT roi, z + dz AS z, y + dy AS y, x + dx AS x FROM m CROSS JOIN {_STEP})"

@@ -45,10 +45,10 @@ d AS (SELECT {", ".join("v." + c for c in keys)}, avg(abs(val - mu)) AS mad, avg
 r AS (SELECT {", ".join("v." + c for c in keys)}, avg(abs(val - rm)) AS rmad FROM v JOIN s ON {j} JOIN d ON {" AND ".join(f"d.{c} = s.{c}" for c in keys)} WHERE val BETWEEN p10 AND p90 GROUP BY {", ".join("v." + c for c in keys)}),
 h AS (SELECT {k}, -sum(p * log2(p)) AS ent, sum(p * p) AS uni FROM (SELECT {k}, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY {k}) AS p FROM v GROUP BY {k}, g) GROUP BY {k}),
 f AS (SELECT {", ".join("s." + c for c in keys)}, mu AS "Mean", va AS "Variance", CASE WHEN va = 0 THEN 0 ELSE m3 / pow(va, 1.5) END AS "Skewness", CASE WHEN va = 0 THEN 0 ELSE m4 / (va * va) - 3 END AS "Kurtosis",
-  lo AS "Minimum", hi AS "Maximum", hi - lo AS "Range", p50 AS "Median", p10 AS "10Percentile", p90 AS "90Percentile", p75 - p25 AS "InterquartileRange", mad AS "MeanAbsoluteDeviation", rmad AS "RobustMeanAbsoluteDeviation", med AS "MedianAbsoluteDeviation",
+  lo AS "Minimum", hi AS "Maximum", hi - lo AS "Range", p50 AS "Median", p10 AS "10Percentile", p90 AS "90Percentile", p75 - p25 AS "InterquartileRange", mad AS "MeanAbsoluteDeviation", coalesce(rmad, 0) AS "RobustMeanAbsoluteDeviation", med AS "MedianAbsoluteDeviation",
   CASE WHEN va = 0 THEN 0 WHEN mu = 0 THEN 'Infinity'::DOUBLE ELSE sqrt(va) / mu END AS "CoefficientOfVariation", CASE WHEN p75 + p25 = 0 THEN 1 ELSE (p75 - p25) / (p75 + p25) END AS "QuartileCoefficientOfDispersion",
   sqrt(va) AS "StandardDeviation", en AS "Energy", en * {volume} AS "TotalEnergy", sqrt(ms) AS "RootMeanSquared", ent AS "Entropy", uni AS "Uniformity"
-  FROM s JOIN d USING ({k}) JOIN r USING ({k}) JOIN h USING ({k}))
+  FROM s JOIN d USING ({k}) LEFT JOIN r USING ({k}) JOIN h USING ({k}))
 {rounded(names, keys, "f")}"""
 
 

@@ -66,7 +66,7 @@ def test_resampled_run(spark, case):
     images, masks = case
     e = Engine({"setting": {"resampledPixelSpacing": [2, 2, 0]}, "scalar": {"firstorder": ["Mean", "Minimum", "Maximum"]}})
     r = {x["feature"]: x["value"] for x in e.scalar(images, masks).collect()}
-    assert e.spacing == (1.0, 2.0, 2.0) and -40 <= r["Minimum"] <= r["Mean"] <= r["Maximum"] < 60
+    assert e.grid_spacing == (1.0, 2.0, 2.0) and e.spacing == (1.0, 1.0, 1.0) and -60 <= r["Minimum"] <= r["Mean"] <= r["Maximum"] < 80
 
 
 def test_unfit_regions_fail(spark, case):

@@ -6,7 +6,7 @@ import pytest
 from gridlore.plans import queries as Q
 
 DIR = "/root/testdata/sf0.001"
-SLOW = ("map_glcm", "map_glrlm", "map_ngtdm", "map_gldm", "map_glszm")
+
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +17,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in Q.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in Q.oracle_sql()])
 def test_query_equals_sql(spark, duck, name):
     a = Q.queries()[name](spark, DIR).toPandas()
     b = duck.execute(Q.oracle_sql()[name]).df()
