@@ -439,3 +439,88 @@ def lbp_plane(plane: np.ndarray, radius: float, samples: int, method: str) -> np
 @image_type("lbp2d")
 def lbp2d(v, keys=("roi",), radius: float = 1.0, samples: int = 8, method: str = "uniform", flat_axis: int = 0, **_):
     return _whole_image(v, keys, _by_slice(lambda p: lbp_plane(p, radius, samples, method), flat_axis))
+
+
+def icosphere(subdivisions: int = 1) -> np.ndarray:
+    """Corners on the unit sphere: an icosahedron's (0, 1, golden ratio, in all signs and cyclic orders), and the middles of the edges
+    of each subdivision, brought out to the sphere."""
+    gold = (1 + math.sqrt(5)) / 2
+    at = np.array([np.roll((0.0, a, b * gold), k) for k in range(3) for a in (-1, 1) for b in (-1, 1)])
+    at /= np.linalg.norm(at[0])
+    near = np.isclose(np.linalg.norm(at[:, None] - at[None], axis=-1), 2 / math.sqrt(1 + gold * gold))
+    faces = [(a, b, c) for a in range(12) for b in range(a + 1, 12) for c in range(b + 1, 12) if near[a, b] and near[b, c] and near[a, c]]
+    for _ in range(subdivisions):
+        middle: dict[tuple[int, int], int] = {}
+        corners = list(at)
+
+        def between(a, b, middle=middle, corners=corners):
+            edge = (min(a, b), max(a, b))
+            if edge not in middle:
+                m = corners[a] + corners[b]
+                corners.append(m / np.linalg.norm(m))
+                middle[edge] = len(corners) - 1
+            return middle[edge]
+
+        split = []
+        for a, b, c in faces:
+            ab, bc, ca = between(a, b), between(b, c), between(c, a)
+            split += [(a, ab, ca), (b, ab, bc), (c, bc, ca), (ab, bc, ca)]
+        at, faces = np.array(corners), split
+    return at
+
+
+def _harmonic(n: int, m: int, azimuth: np.ndarray, polar: np.ndarray) -> np.ndarray:
+    """The spherical harmonic of degree n and order m, by the recurrence of associated Legendre functions."""
+    k, x = abs(m), np.cos(polar)
+    low, now = np.zeros_like(x), np.prod(np.arange(1, 2 * k, 2.0)) * (-1) ** k * (1 - x * x) ** (k / 2)
+    for d in range(k, n):
+        low, now = now, ((2 * d + 1) * x * now - (d + k) * low) / (d - k + 1)
+    y = math.sqrt((2 * n + 1) / (4 * math.pi) * math.factorial(n - k) / math.factorial(n + k)) * now * np.exp(1j * k * azimuth)
+    return y if m >= 0 else (-1) ** k * np.conj(y)
+
+
+def spline_at(image: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Cubic spline values of an image, mirrored at its ends, at places (rows z, y, x); 0 outside of the box of its voxels' centres."""
+    from gridlore.operators.preprocess import POLE, REACH
+
+    c = image.astype(float)
+    for axis, n in enumerate(image.shape):
+        fold = np.arange(-REACH, n + REACH) % max(2 * n - 2, 1)
+        wide = np.take(c, np.where(fold >= n, 2 * n - 2 - fold, fold), axis)
+        c = sum(-6 * POLE / (1 - POLE * POLE) * POLE ** abs(k) * np.take(wide, np.arange(n) + REACH + k, axis) for k in range(-REACH, REACH + 1))
+    size = np.array(image.shape)
+    ok = ((places >= 0) & (places <= size - 1)).all(1)
+    base = np.floor(places).astype(int)
+    f = places - base
+    g = 1 - f
+    weights = np.stack([g**3 / 6, 2 / 3 - f * f * (2 - f) / 2, 2 / 3 - g * g * (2 - g) / 2, f**3 / 6])
+    out = np.zeros(len(places))
+    for o in product(range(4), repeat=3):
+        at = (base + np.array(o) - 1) % np.maximum(2 * size - 2, 1)
+        at = np.clip(np.where(at >= size, 2 * size - 2 - at, at), 0, size - 1)
+        out += np.prod([weights[k, :, d] for d, k in enumerate(o)], axis=0) * c[tuple(at.T)]
+    return np.where(ok, out, 0.0)
+
+
+def lbp_volume(image: np.ndarray, levels: int = 2, radius: float = 1.0, subdivisions: int = 1) -> list[np.ndarray]:
+    """Binary patterns on a sphere around each voxel: which of its corners are no lower than the centre, projected on spherical
+    harmonics of each degree below `levels` (the length of each projection does not change as the pattern turns), and at last the
+    excess kurtosis of the values on the sphere. Angles are taken as the definition has them: polar angle in the azimuth's place."""
+    corners = icosphere(subdivisions) * radius
+    azimuth, polar = np.arccos(corners[:, 2] / radius), np.arctan2(corners[:, 1], corners[:, 0])
+    kernels = [sum(np.outer(y, y) for y in (_harmonic(n, m, azimuth, polar) for m in range(-n, n + 1))) for n in range(levels)]
+    spots = np.argwhere(np.ones(image.shape, bool))
+    values = np.stack([spline_at(image, spots + c) for c in corners], 1)
+    # Equal values differ in their last digits after the spline.
+    above = (values >= image.ravel()[:, None] - 1e-9 * np.maximum(1, np.abs(image.ravel()[:, None]))).astype(float)
+    out = [np.sqrt(((above @ k) ** 2).sum(1)).real.reshape(image.shape) for k in kernels]
+    d = values - values.mean(1, keepdims=True)
+    square = (d * d).mean(1)
+    flat = square <= 1e-18 * np.maximum(1, np.abs(values).max(1)) ** 2
+    return [*out, np.where(flat, -3.0, (d**4).mean(1) / np.where(flat, 1, square) ** 2 - 3).reshape(image.shape)]
+
+
+@image_type("lbp3d")
+def lbp3d(v, keys=("roi",), level: int = 1, levels: int = 2, radius: float = 1.0, subdivisions: int = 1, **_):
+    """One image of `lbp_volume`: level 1 to `levels`, or 0 for the kurtosis."""
+    return _whole_image(v, keys, lambda p: lbp_volume(p, levels, radius, subdivisions)[level - 1])

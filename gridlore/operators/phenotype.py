@@ -50,7 +50,7 @@ def _sampled(x: np.ndarray, most: int | None, seed: int) -> np.ndarray:
     return x[np.sort(np.random.default_rng(seed).choice(len(x), most, replace=False))]
 
 
-def pca(x: np.ndarray, percent: float = 95.0, most: int | None = 50_000, seed: int = 0) -> np.ndarray:
+def pca(x: np.ndarray, percent: float = 95.0, most: int | None = 50_000, seed: int = 42) -> np.ndarray:
     """Scores of the components that together explain `percent` of the variance; the largest loading of each is positive."""
     z = zscore(x)
     fit = _sampled(z, most, seed)
@@ -62,7 +62,7 @@ def pca(x: np.ndarray, percent: float = 95.0, most: int | None = 50_000, seed: i
     return (z - centre) @ (axes * sign[:, None]).T
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, n_init: int = 10, max_iter: int = 300, most: int | None = 50_000) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, most: int | None = 50_000) -> np.ndarray:
     """Labels of the best of n_init runs, each begun by distance-weighted drawing."""
     fit, rng, best = _sampled(x, most, seed), np.random.default_rng(seed), None
     for _ in range(n_init):
@@ -82,7 +82,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, n_init: int = 10, max_iter: int
     return np.concatenate([((x[i : i + 65536, None] - best[1][None]) ** 2).sum(-1).argmin(1) for i in range(0, len(x), 65536)])
 
 
-def gaussian_mixture(x: np.ndarray, k: int, seed: int = 0, n_init: int = 10, max_iter: int = 300, most: int | None = 50_000) -> np.ndarray:
+def gaussian_mixture(x: np.ndarray, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300, most: int | None = 50_000) -> np.ndarray:
     """Labels of a mixture of Gaussians with diagonal covariances; the variance floor rises until a fit holds."""
     fit = _sampled(x, most, seed)
     first = kmeans(fit, k, seed, n_init, max_iter, None)
@@ -170,7 +170,7 @@ def _by_region(maps: DataFrame, keys, f, out: str) -> DataFrame:
     return maps.groupBy(*keys).applyInPandas(run, schema)
 
 
-def tiers(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 0, score: str = "weighted_deviation", threshold: float = 0.9) -> DataFrame:
+def tiers(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 42, score: str = "weighted_deviation", threshold: float = 0.9) -> DataFrame:
     """(keys, z, y, x, cluster, score, tier): three clusters, H, M and L by falling mean score."""
     names = feature_columns(maps, keys)
 
@@ -203,7 +203,7 @@ def tidied(raw: np.ndarray, parent: np.ndarray, least: int = 8, fraction: float
     return raw & parent if m.sum() < min_voxels else m
 
 
-def enriched(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 0, score: str = "weighted_deviation", rules: dict | None = None, postprocess: bool = True) -> DataFrame:
+def enriched(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 42, score: str = "weighted_deviation", rules: dict | None = None, postprocess: bool = True) -> DataFrame:
     """The enriched subregion of each region of keys (a tier may be one of them): of two clusters the one with the higher mean score,
     tidied. (keys, z, y, x, cluster, score, pes, status): status is `completed`, or why there is none."""
     names, rules = feature_columns(maps, keys), RULES | (rules or {})
@@ -262,10 +262,11 @@ def habitats(v: DataFrame, keys=("roi",), k: int = 3, seed: int = 42) -> DataFra
     return _by_region(v, keys, run, "z int, y int, x int, habitat int")
 
 
+#: Names of the features, in their order.
 INTERACTION = (
-    "tier_h_volume_fraction tier_m_volume_fraction tier_l_volume_fraction tier_h_tier_l_interface tier_h_tier_m_interface tier_m_distance_to_h_mean tier_m_distance_to_h_std tier_h_solidity spatial_entropy "
-    "pes_volume_fraction pes_fragmentation pes_eccentricity pes_tier_m_adjacency pes_sphericity"
-).split()
+    "tier_h_volume_fraction", "tier_m_volume_fraction", "tier_l_volume_fraction", "tier_h_tier_l_interface", "tier_h_tier_m_interface", "tier_m_distance_to_h_mean", "tier_m_distance_to_h_std",
+    "tier_h_solidity", "spatial_entropy", "pes_volume_fraction", "pes_fragmentation", "pes_eccentricity", "pes_tier_m_adjacency", "pes_sphericity",
+)
 
 
 def interaction(t: DataFrame, keys=("roi",)) -> DataFrame:
@@ -319,7 +320,7 @@ def top_voxels(v: DataFrame, n: int, keys=("roi",), value: str = "val") -> DataF
     return v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def global_top(maps: DataFrame, keys=("roi",), k: int = 6, best: int = 3, least_region: int = 96, least: int = 16, seed: int = 0) -> DataFrame:
+def global_top(maps: DataFrame, keys=("roi",), k: int = 6, best: int = 3, least_region: int = 96, least: int = 16, seed: int = 42) -> DataFrame:
     """Control: of k clusters over a region, the `best` with the highest mean scores, if each is large enough."""
     names = feature_columns(maps, keys)
 

@@ -19,11 +19,15 @@ from pyspark.sql.types import StructType
 
 from gridlore.functions.voxels import AXES
 
+#: Names of the features, in their order.
 SHAPE = (
-    "MeshVolume VoxelVolume SurfaceArea SurfaceVolumeRatio Sphericity Compactness1 Compactness2 SphericalDisproportion Maximum3DDiameter Maximum2DDiameterSlice Maximum2DDiameterColumn Maximum2DDiameterRow "
-    "MajorAxisLength MinorAxisLength LeastAxisLength Elongation Flatness Asphericity CentreOfMassShift IntegratedIntensity VolumeDensityAABB AreaDensityAABB VolumeDensityAEE AreaDensityAEE VolumeDensityConvexHull AreaDensityConvexHull"
-).split()
-SHAPE2D = "MeshSurface PixelSurface Perimeter PerimeterSurfaceRatio Sphericity SphericalDisproportion MaximumDiameter MajorAxisLength MinorAxisLength Elongation".split()
+    "MeshVolume", "VoxelVolume", "SurfaceArea", "SurfaceVolumeRatio", "Sphericity", "Compactness1", "Compactness2", "SphericalDisproportion", "Maximum3DDiameter", "Maximum2DDiameterSlice",
+    "Maximum2DDiameterColumn", "Maximum2DDiameterRow", "MajorAxisLength", "MinorAxisLength", "LeastAxisLength", "Elongation", "Flatness", "Asphericity", "CentreOfMassShift",
+    "IntegratedIntensity", "VolumeDensityAABB", "AreaDensityAABB", "VolumeDensityAEE", "AreaDensityAEE", "VolumeDensityConvexHull", "AreaDensityConvexHull",
+)
+SHAPE2D = (
+    "MeshSurface", "PixelSurface", "Perimeter", "PerimeterSurfaceRatio", "Sphericity", "SphericalDisproportion", "MaximumDiameter", "MajorAxisLength", "MinorAxisLength", "Elongation",
+)
 
 CORNERS = list(product((0, 1), repeat=3))
 

@@ -159,12 +159,9 @@ _laws = [[w / sum(x * x for x in filters.LAWS[k]) ** 0.5 for w in filters.LAWS[k
 voxel("filter_laws", lambda s, d: filters.laws(filled(s, d)), conv_sql([(a, {2 - i: w for i, w in enumerate(k)}) for a, k in zip(V.AXES, _laws)], "mirror"))
 _wave = [filters.wavelet_taps("coif1", p) for p in "LHL"]
 voxel("filter_wavelet", lambda s, d: filters.wavelet(filled(s, d), combination="LHL"), conv_sql([(a, {3 - i: w for i, w in enumerate(k)}) for a, k in zip(V.AXES, _wave)], "wrap"))
-for _n, _kw in (("log", {"sigma": 1.0}), ("gradient", {}), ("ibsiwavelet", {"combination": "LHH"}), ("gabor", {"axes": (0,), "sigma": 2.0, "wavelength": 4.0}), ("simoncelli", {}), ("riesz", {"order": (1, 0, 0)}), ("lbp2d", {})):
+for _n, _kw in (("gradient", {}), ("gabor", {"axes": (0,), "sigma": 2.0, "wavelength": 4.0}), ("simoncelli", {}), ("riesz", {"order": (1, 0, 0)}), ("lbp2d", {})):
     voxel(f"filter_{_n}", lambda s, d, n=_n, kw=_kw: filters.IMAGE_TYPES[n](filled(s, d), **kw), None)
 voxel("filter_riesz_steered", lambda s, d: filters.riesz(filled(s, d), order=(0, 2, 0), steering=True), None)
-voxel("filter_laws_rotational", lambda s, d: filters.laws(filled(s, d), kernels="l3e3", rotational=True, energy=2), None)
-voxel("resample_linear", lambda s, d: preprocess.resample(filled(s, d), to=(2.0, 1.5, 2.0)), None)
-voxel("resample_nearest", lambda s, d: preprocess.resample(filled(s, d), to=(2.0, 1.5, 2.0), interpolator="nearest"), None)
 
 _grad = lambda a: f"(coalesce(lead(val) OVER (PARTITION BY roi, {', '.join(c for c in 'zyx' if c != a)} ORDER BY {a}), val) - coalesce(lag(val) OVER (PARTITION BY roi, {', '.join(c for c in 'zyx' if c != a)} ORDER BY {a}), val)) / 2"
 _Q["filter_gradient"] = (_Q["filter_gradient"][0], f"WITH {DENSE}, q AS (SELECT roi, z, y, x, {', '.join(f'{_grad(a)} AS d{a}' for a in 'zyx')} FROM d) {_val('q', 'sqrt(dz * dz + dy * dy + dx * dx)')}")
@@ -205,7 +202,6 @@ add("phenotype_fused_pes", lambda s, d: _fused(s, d).groupBy("roi", "tier", "sta
 add("phenotype_interaction", lambda s, d: phenotype.interaction(_fused(s, d)))
 add("phenotype_habitats", lambda s, d: phenotype.habitats(V.vox3d(s, d)).groupBy("roi", "habitat").agg(F.count("*").alias("voxels")), None, ("roi", "habitat"))
 add("phenotype_global_top", lambda s, d: phenotype.global_top(phenotype.drop_constant(maps(s, d))).groupBy("roi", "chosen").agg(F.count("*").alias("voxels")), None, ("roi", "chosen"))
-voxel("phenotype_distance_core", lambda s, d: phenotype.distance_core(V.vox3d(s, d).filter("val >= 5"), 50), None)
 voxel("phenotype_top_voxels", lambda s, d: phenotype.top_voxels(V.vox3d(s, d), 100), f"WITH v AS ({sql.VOX3D}) SELECT roi, z, y, x, round(val + 1e-9, 6) AS val, row_number() OVER (PARTITION BY roi ORDER BY val DESC, z, y, x)::DOUBLE AS rank FROM v QUALIFY rank <= 100")
 add("phenotype_summary", lambda s, d: phenotype.summarize(V.vox3d(s, d)), f"WITH v AS ({sql.VOX3D}) SELECT roi, 'val' AS feature, round(avg(val) + 1e-9, 6) AS mean, round(stddev_pop(val) + 1e-9, 6) AS std, round(quantile_cont(val, 0.1) + 1e-9, 6) AS p10, round(quantile_cont(val, 0.9) + 1e-9, 6) AS p90 FROM v GROUP BY roi", ("roi", "feature"))
 _Q["phenotype_random_children"] = (
@@ -231,8 +227,12 @@ add(
 
 
 def queries():
+    from gridlore.plans import more_queries  # noqa: F401  adds its own
+
     return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql():
+    from gridlore.plans import more_queries  # noqa: F401
+
     return {k: s for k, (_, s) in _Q.items() if s}

@@ -7,11 +7,27 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTS = ("case_id", "roi_id", "mode")
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder. Only where all is one
+    process (a local master) one of its own will do."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="gridlore-"))
+    return f"file://{_own[0]}"
 
 
 def safe_name(case: str, roi: str) -> str:
