@@ -12,7 +12,9 @@ at most `block_words` words, a pass over the index for each block.
 
 Defined cases: null, empty and wordless texts have no words, no hits; items without words are
 ignored; items sharing an item_id count once; a null item_id is written as an empty string;
-repeated rows of documents are reported one by one; empty tables give no rows or no hits.
+very long documents are one shard of their own; repeated rows of documents, and rows with tied or
+null keys, are reported one by one; empty tables give no rows or no hits; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,7 +128,12 @@ class Postings:
 
 def _search(index: DataFrame, phrases: list[tuple], counts: dict[int, int], slop: int | None) -> DataFrame:
     """phrases: (terms, items). Rows: every document by shard and place in it, the spans hit (start and end in words) and the items."""
-    ready = index.sparkSession.sparkContext.broadcast([(t, sorted(range(len(t)), key=lambda o: (counts.get(t[o], 0), o)), items) for t, items in phrases if all(x in counts for x in t)])
+    by_rarest: dict[int, list] = {}
+    for t, owners in phrases:
+        if all(x in counts for x in t):
+            order = sorted(range(len(t)), key=lambda o: (counts.get(t[o], 0), o))
+            by_rarest.setdefault(t[order[0]], []).append((t, order, owners))
+    ready = index.sparkSession.sparkContext.broadcast(by_rarest)
 
     def run(batches):
         for pdf in batches:
@@ -134,7 +141,8 @@ def _search(index: DataFrame, phrases: list[tuple], counts: dict[int, int], slop
                 p = Postings(terms, n, positions, lengths)
                 spans: dict[int, set] = {}
                 items: dict[int, set] = {}
-                for t, order, owners in ready.value:
+                # Only phrases whose rarest term this shard has.
+                for t, order, owners in (x for term in p.lists.keys() & ready.value.keys() for x in ready.value[term]):
                     found = p.phrase(t, order) if slop is None else p.near(t, order, slop)
                     if len(found):
                         docs = np.searchsorted(p.ends, found, "right")

@@ -9,7 +9,9 @@ at most `sample_rows` labelled rows, drawn by a hash of the key with a share for
 run of `chunk` bytes or so at a hashed place. Everything else covers whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; so is everything if no row is
-labelled; repeated rows are labelled one by one; an empty table gives an empty result.
+labelled; very long texts are read whole, chunk by chunk; ties go to the language first by code point; a null key is a
+learned row like any other; repeated rows are labelled one by one; an empty table gives an empty result; `label` takes
+other columns along, but for such as have the names asked for.
 """
 
 from __future__ import annotations

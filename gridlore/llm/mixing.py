@@ -11,9 +11,10 @@ Nothing is gathered by source: cumulative words come from two levels of prefix s
 spread over all buckets. The cut is found in a histogram of virtual time with a fixed
 number of bins and, exactly, in the one bin that the budget ends in.
 
-Defined cases: a null or blank text has size 0 and is never copied; null sources form one
-source that sorts last; rows that repeat are separate documents; an empty table gives an
-empty mix; other columns ride along untouched, also if named like a working column (working
+Defined cases: a null or blank text has size 0 and is never copied; a very long text is taken
+whole or not at all; null sources form one source that sorts last; a null key is a key like any
+other; rows that repeat are separate documents, and ties of virtual time go by source, hash and
+key; an empty table gives an empty mix; other columns ride along untouched, also if named like a working column (working
 columns start with `__mix_`).
 """
 
@@ -40,7 +41,6 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFr
     one = Window.orderBy(F.col("source").isNull(), "source")  # a row for each source
     by_ratio = Window.orderBy("ratio", "rank")
     upto = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(1))
     t = (
         sizes.withColumn("rank", F.row_number().over(one))
@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFr
         .withColumn("cap", F.col("source_size") * max_repeats)
         .withColumn("ratio", F.col("cap") / F.col("weight"))
         .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0))) / F.sum("weight").over(rest))
+        .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0))))
         .withColumn("free", F.col("ratio") > F.col("level"))
         .withColumn("free_level", F.max(F.when(F.col("free"), F.struct(-F.col("ratio"), -F.col("rank"), F.col("level")))).over(everything)["level"])
         .withColumn("target", F.when(F.col("free"), F.col("weight") * F.col("free_level")).otherwise(F.col("cap")).cast("double"))
@@ -113,14 +113,18 @@ def _cut(copies: DataFrame, budget: int):
 
 
 def mix(docs: DataFrame, text: str = "text", partitions: int | None = None, **how) -> DataFrame:
-    """The mix: docs' columns and `mix_time`, a row for each copy taken, globally range-sorted by virtual finish time.
+    """The mix: docs' columns and `mix_time` (`__mix_time` if docs have a column of that name), a row for each copy taken, globally
+    range-sorted by virtual finish time.
 
     Ranges are equal widths of virtual time, which hold about equal words, so no sampling pass is needed."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = plan(with_word_count(docs, text, docs.columns, "__mix_size"), **how)
-    rows = p.select(*docs.columns, F.explode("__mix_times").alias("mix_time"))
-    part = F.least(F.floor(F.col("mix_time") * n), F.lit(n - 1)).cast("int")
-    return rows.repartitionById(n, part).sortWithinPartitions("mix_time")
+    names = docs.columns
+    inner = [f"__mix_in_{k}" if c.startswith("__mix_") else c for k, c in enumerate(names)]  # no name is a working column's
+    p = plan(with_word_count(docs.toDF(*inner), text, inner, "__mix_size"), **how)
+    time = "__mix_time" if "mix_time" in names else "mix_time"
+    rows = p.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(inner, names)), F.explode("__mix_times").alias(time))
+    part = F.least(F.floor(F.col(time) * n), F.lit(n - 1)).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions(time)
 
 
 def mixed_documents(docs: DataFrame, text="text", source="source", key="doc_id", **how) -> DataFrame:

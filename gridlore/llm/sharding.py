@@ -14,7 +14,9 @@ counts differ by one at most; `key` places by key and shard count alone (highest
 more shard takes rows only into itself).
 
 Defined cases: a null text has no bytes, size 8, and null texts are one group apart from empty ones;
-repeated rows stay rows; with fewer groups than shards, shards stay empty; an empty table gives none.
+very long texts are groups like any other, and a shard's least capacity; repeated rows and rows with null or tied keys
+stay rows, with slots of their own; with fewer groups than shards, shards stay empty; an empty table gives none; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,7 +158,7 @@ def _bucket(digits: int):
 
 def _with_slots(d: DataFrame, key: str) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: numbers within a bucket, after the counts of the buckets before it."""
-    d = d.withColumn("__b", _bucket(3)).withColumn("__s", F.pmod(F.xxhash64(key), F.lit(16)).cast("int"))
+    d = d.withColumn("__b", _bucket(3)).withColumn("__s", F.pmod(F.xxhash64(key, "group"), F.lit(16)).cast("int"))
     n = d.groupBy("shard", "__b", "__s").agg(F.count("*").alias("n"))  # at most 4,098 x 16 rows and 16 for each cut
     before = Window.partitionBy("shard").orderBy("__b", "__s").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.broadcast(stage(n.select("shard", "__b", "__s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o")), "slots"))

@@ -13,8 +13,9 @@ way, until the fixed bits themselves bound the group. Components come from large
 rounds over the links.
 
 Defined cases: null, empty and wordless texts have fingerprint 0 and are linked like any other;
-repeated rows stay rows; a null doc_id takes part, but is no component's id unless it is the only one;
-an empty table gives an empty result.
+very long texts are read whole; repeated rows stay rows; a null doc_id takes part, but is no component's id unless it
+is the only one; ties go to the least key; an empty table gives an empty result; other columns ride along in
+`representatives`, whatever their names (working columns start with `__simhash_`), and are not read elsewhere.
 """
 
 from __future__ import annotations
@@ -252,8 +253,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", group_limit: int = 4096) -> DataFrame:
     """The rows of docs with the least key of each component: one row, also where rows repeat; rows without a key only if alone."""
-    f = stage(fingerprints(docs, text, docs.columns, "__fp").withColumn("__row", F.monotonically_increasing_id()), "fingerprinted")
-    slim = f.select(F.col(key), F.col("__fp").alias("fp"), F.col("__row"))
+    f = stage(fingerprints(docs, text, docs.columns, "__simhash_fp").withColumn("__simhash_row", F.monotonically_increasing_id()), "fingerprinted")
+    slim = f.select(F.col(key), F.col("__simhash_fp").alias("fp"), F.col("__simhash_row"))
     roots = _by_fingerprint(slim, key, group_limit).select("fp", "root")
-    first = slim.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("__row"))).alias("first"))
-    return f.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").drop("__fp", "__row")
+    first = slim.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("__simhash_row"))).alias("first"))
+    return f.join(first.select(F.col("first.__simhash_row").alias("__simhash_row")), "__simhash_row", "left_semi").drop("__simhash_fp", "__simhash_row")

@@ -5,8 +5,9 @@ parameter, it is read once on the driver). Documents with the same length are on
 before anything is shuffled; suffix sums over it answer, for every context limit, how many documents and tokens
 are at or above it, how many tokens are left if documents are cut there, and the share of documents that fit.
 
-Defined cases: null and empty texts have length 0 and are counted; repeated rows count each; an empty table gives
-an empty histogram.
+Defined cases: null and empty texts have length 0 and are counted; very long texts are encoded whole; repeated rows
+count each, and keys, null or tied, play no part; an empty table gives an empty histogram; other columns are not read
+but those to keep, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,13 +59,12 @@ def histogram(sizes: DataFrame, name: str = "length") -> DataFrame:
     """A row for each length that occurs: documents, tokens, documents and tokens at least that long, tokens if all are cut at
     that length, tokens cut off, and the share of documents that are no longer."""
     h = sizes.groupBy(name).agg(F.count("*").alias("documents")).withColumn("tokens", F.col("documents") * F.col(name))
-    up = Window.orderBy(name).rowsBetween(Window.currentRow, Window.unboundedFollowing)  # rows are lengths, not documents
-    down = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # rows are lengths, not documents
     n = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    h = h.select(
-        F.col(name).alias("length"), "documents", "tokens", F.sum("documents").over(up).alias("documents_at_least"), F.sum("tokens").over(up).alias("tokens_at_least"),
-        F.sum("tokens").over(n).alias("total"), F.sum("documents").over(down).alias("upto"), F.sum("documents").over(n).alias("all"),
-    )
+    # A suffix sum is the total without the prefix: one running sum serves both, in time linear in the lengths.
+    upto, tokens = F.sum("documents").over(down), F.sum("tokens").over(down)
+    h = h.select(F.col(name).alias("length"), "documents", "tokens", upto.alias("upto"), tokens.alias("tokens_upto"), F.sum("tokens").over(n).alias("total"), F.sum("documents").over(n).alias("all"))
+    h = h.withColumn("documents_at_least", F.col("all") - F.col("upto") + F.col("documents")).withColumn("tokens_at_least", F.col("total") - F.col("tokens_upto") + F.col("tokens"))
     cut = F.col("tokens_at_least") - F.col("documents_at_least") * F.col("length")
     return h.select(
         "length", "documents", "tokens", "documents_at_least", "tokens_at_least", (F.col("total") - cut).alias("truncated_tokens"), cut.alias("tokens_cut"),

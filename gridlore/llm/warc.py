@@ -17,8 +17,10 @@ with the reader's file sizes, so files of lost or repeated tasks are never read.
 
 Files are opened by pyarrow.fs, so any store that it knows can hold archives.
 
-Defined cases: a null payload is written as an empty one; a null field leaves its header out and is read as
-null; an empty table gives a folder with an empty manifest, which reads as no rows.
+Defined cases: a null payload is written as an empty one; a null field, also a null key, leaves its header out and is
+read as null; very long payloads are one record each; of rows that repeat with key and payload one is the response;
+an empty table gives a folder with an empty manifest, which reads as no rows; other columns are not written, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -281,17 +283,30 @@ REVISIT_BYTES = 100
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = REVISIT_BYTES, small_rows: int = 500_000) -> DataFrame:
-    """Pages as WARC rows. Of equal payloads of at least `least` bytes the one with the smallest key is the response; the others
-    revisit it and carry no payload. Only digests are shuffled; the table of repeated payloads is broadcast up to small_rows rows."""
+    """Pages as WARC rows. Of equal payloads of at least `least` bytes the one with the smallest key (null last) is the response; the
+    others revisit it and carry no payload. Only digests are shuffled; the table of repeated payloads is broadcast up to small_rows rows.
+    If pages repeat with key and payload, one of them is the response; only then pages are staged, so that rows keep their numbers."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     p = pages.select(F.col(key).alias("k"), F.col(url).alias("u") if url in pages.columns else F.lit(None).cast("string").alias("u"), body.alias("body"))
     p = p.withColumn("n", F.octet_length("body").cast("long")).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    repeated = stage(p.filter(F.col("n") >= least).select("k", "digest").groupBy("digest").agg(F.min("k").alias("first"), F.count("*").alias("of")).filter("of > 1").select("digest", "first"), "repeats")
+    alike = p.filter(F.col("n") >= least).groupBy("digest", "k").agg(F.count("*").alias("same")).groupBy("digest")
+    alike = alike.agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "same")).alias("f"), F.sum("same").alias("of")).filter("of > 1")
+    repeated = stage(alike.select("digest", F.col("f.k").alias("first"), F.col("f.same").alias("same")), "repeats")
+    tied = repeated.filter("same > 1")
+    if tied.isEmpty():
+        p = p.withColumn("uid", F.lit(0).cast("long"))
+        repeated = repeated.select("digest", "first", F.lit(0).cast("long").alias("keep"))
+    else:
+        p = stage(p.withColumn("uid", F.monotonically_increasing_id()), "pages")
+        own = p.select("digest", "k", "uid").join(tied.select("digest", "first"), "digest").filter(F.col("k").eqNullSafe(F.col("first"))).groupBy("digest").agg(F.min("uid").alias("row"))
+        repeated = repeated.join(own, "digest", "left").select("digest", "first", "row")
+        repeated = stage(repeated.withColumnRenamed("row", "keep"), "repeats")
+    repeated = repeated.withColumn("found", F.lit(True))
     if repeated.count() <= small_rows:
         repeated = F.broadcast(repeated)
-    # A row that repeats its key too stays a response only once: the other copies revisit it.
-    again = F.col("first").isNotNull() & (F.col("n") >= least) & ~F.col("k").eqNullSafe(F.col("first"))
     j = p.join(repeated, "digest", "left")
+    here = F.col("k").eqNullSafe(F.col("first")) & (F.col("keep").isNull() | (F.col("uid") == F.col("keep")))
+    again = F.col("found").isNotNull() & (F.col("n") >= least) & ~here
     name = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")))
     return j.select(
         F.when(again, "revisit").otherwise("response").alias("warc_type"), name(F.col("k")).alias("record_id"), F.regexp_replace("u", r"[\r\n]+", " ").alias("target_uri"),

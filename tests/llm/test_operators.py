@@ -332,6 +332,9 @@ def test_warc_round_trip(spark, tmp_path, compress):
     assert len(full) == len(PAGES) and bytes(full["8"]["payload"]) == PAGES[7][2].encode() and full["4"]["target_uri"] == "u Injected: 1" and full["2"]["target_uri"] is None
     one = spark.read.format("warc").load(str(tmp_path / "x")).filter("page_id = '9'").collect()
     assert [(r["warc_type"], r["refers_to_page"]) for r in one] == [("revisit", "4")]
+    again = spark.createDataFrame([(1, "a", "x" * 200), (1, "b", "x" * 200), (2, "c", "x" * 200), (None, "d", "x" * 200), (None, None, "z" * 150), (None, "e", "z" * 150), (5, "f", "s"), (5, "f", "s")], "page_id long, url string, html string").repartition(3)
+    got = Counter(tuple(r)[0:1] + tuple(r)[3:] for r in warc.round_trip(again, folder=str(tmp_path / "r")).collect())
+    assert got == Counter({(1, "response", None): 1, (1, "revisit", 1): 1, (2, "revisit", 1): 1, (None, "revisit", 1): 1, (None, "response", None): 1, (None, "revisit", None): 1, (5, "response", None): 2})
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(empty, folder=str(tmp_path / "e")).count() == 0
 
