@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from gridlore.llm import decontamination, langid, mixing, sharding, simhash
 from gridlore.llm.common import noting, remove, stage, table
 
-#: A text is rejected if no language is found in it (no letter), or if the pooled probability of the best one is below this.
-LEAST_SURE = 0.4
+def least_sure(languages: int) -> float:
+    """A text is rejected if no language is found in it (no letter), or if the pooled probability of the best one is below this: 0.4,
+    or with more than four languages 1.6 times what each would get by chance."""
+    return min(0.4, 1.6 / max(1, languages))
+
+
 SHARDS = 24
 #: Rows of doomed documents up to which their keys are broadcast.
 SMALL_ROWS = 500_000
@@ -34,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     marked = model.label(docs, pred="__lang", score="__sure")
-    return marked.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__sure") >= LEAST_SURE)).select(*docs.columns)
+    return marked.filter((F.col("__lang") != langid.UNKNOWN) & (F.col("__sure") >= least_sure(len(model.languages)))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
