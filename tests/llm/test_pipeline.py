@@ -1,4 +1,4 @@
-"""The pipeline on the smallest tables against its stages by brute force."""
+"""The pipeline on the smallest tables: what its stages promise together; test_pipeline_stages.py holds each by brute force."""
 
 from collections import Counter
 
@@ -20,7 +20,6 @@ def test_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         left[name] = Counter(r["doc_id"] for r in docs.collect())
-    assert set(left["language_id"]) >= {i for i, t in texts.items() if t and len(t) > 200 and sum(map(str.isalpha, t)) > 0.5 * len(t)} - {i for i in texts if i not in left["language_id"]}
     assert len(left["language_id"]) > 0.97 * len(texts)
     assert set(left["near_dedup"]) < set(left["language_id"]) and max(left["near_dedup"].values()) == 1
     kept = [texts[i] for i in left["near_dedup"]]
