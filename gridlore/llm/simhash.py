@@ -214,19 +214,23 @@ def _match(keyed: DataFrame, distance: int, limit: int) -> DataFrame:
     return s.mapInArrow(run, "a long, b long, path string")
 
 
+#: Edges for each task and file of a round: few edges are not spread over many tiny files.
+EDGES_A_FILE = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Undirected edges (a, b) to (node, root), root the least node of its component; only nodes that have an edge.
 
     Large-star and small-star in turn, until nothing changes. Each round's edges are written to the shared folder."""
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = None
+    before, files = None, -(-e.count() // EDGES_A_FILE) or 1  # rounds never have more edges than they began with
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        e = stage(small, "edges")
+        e = stage(small.coalesce(files), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
