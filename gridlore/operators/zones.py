@@ -1,15 +1,15 @@
 """Connected zones of equal level, their size and distance matrices, and components in general.
 
-Zones of a region are found where its voxels meet in one task (union of neighbours in numpy), so for `glszm` and
-`gldzm` a region must fit a task. `zones_distributed` finds zones without depths by min-label rounds over an edge
-table, checkpointed; no feature family calls it.
+Zones of a region are found where its voxels meet in one task (union of neighbours in numpy). Regions of more than
+TASK_VOXELS are counted out first and take another way: zones by min-label rounds over an edge table, checkpointed, and
+depths by running minima along the lines of each axis, so no task holds more than a line.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -105,16 +105,50 @@ def zones(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of:
     return rows.groupBy(*by).applyInPandas(solve, schema)
 
 
-def glszm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, batches: int | None = None) -> DataFrame:
-    m = zones(v, keys, ndim, flat_axis, batches=batches).groupBy(*keys, "i", F.col("size").alias("j")).agg(F.count("*").alias("n"))
+#: Voxels that a task may be given of one region.
+TASK_VOXELS = 20_000_000
+
+
+def zones_of_any_size(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None, batches: int | None = None, limit: int | None = None) -> DataFrame:
+    """(keys, i, size, depth) by the way that a region's size asks for. Windows (batches) are small by their nature."""
+    keys, limit, names = list(keys), limit or TASK_VOXELS, ("i", "size", "depth")
+    large = None if batches else v.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(*keys)
+    if large is None or large.isEmpty():
+        return zones(v, keys, ndim, flat_axis, depth_of, batches).select(*keys, *names)
+    large = large.checkpoint()
+    part = lambda df, how: None if df is None else df.join(large, keys, how)
+    rest = zones(part(v, "left_anti"), keys, ndim, flat_axis, part(depth_of, "left_anti")).select(*keys, *names)
+    return rest.unionByName(zones_distributed(part(v, "left_semi"), keys, ndim, flat_axis, part(depth_of, "left_semi")).select(*keys, F.col("i").cast("long").alias("i"), "size", "depth"))
+
+
+def glszm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, batches: int | None = None, limit: int | None = None) -> DataFrame:
+    m = zones_of_any_size(v, keys, ndim, flat_axis, batches=batches, limit=limit).groupBy(*keys, "i", F.col("size").alias("j")).agg(F.count("*").alias("n"))
     return matrix_features(m, keys, "glszm")
 
 
-def gldzm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None) -> DataFrame:
-    m = zones(v, keys, ndim, flat_axis, depth_of).groupBy(*keys, "i", F.col("depth").alias("j")).agg(F.count("*").alias("n"), F.sum("size").alias("voxels"))
+def gldzm(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    m = zones_of_any_size(v, keys, ndim, flat_axis, depth_of, limit=limit).groupBy(*keys, "i", F.col("depth").alias("j")).agg(F.count("*").alias("n"), F.sum("size").alias("voxels"))
     return matrix_features(m, keys, "gldzm", F.col("voxels"))
 
 
+def depths_distributed(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None) -> DataFrame:
+    """(keys, z, y, x, depth): steps along the axes to the nearest place outside. The distance parts by axis: along every line the
+    least of what is known at a place and the steps to it, from either side."""
+    keys, still = list(keys), 0 if ndim == 2 else flat_axis
+    box = v.groupBy(*keys).agg(*(f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    for k, a in enumerate(AXES):
+        pad = 0 if k == still else 1
+        box = box.withColumn(a, F.explode(F.sequence(F.col(f"lo{a}") - pad, F.col(f"hi{a}") + pad)))
+    at = [*keys, *AXES]
+    d = box.select(*at).join(v.select(*at, F.lit(1 << 30).alias("depth")), at, "left").select(*at, F.coalesce("depth", F.lit(0)).alias("depth"))
+    for k, a in enumerate(AXES):
+        if k != still:
+            line = Window.partitionBy(*keys, *(c for c in AXES if c != a))
+            up, down = (line.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(a), F.desc(a)))
+            d = d.withColumn("depth", F.least(F.min(F.col("depth") - F.col(a)).over(up) + F.col(a), F.min(F.col("depth") + F.col(a)).over(down) - F.col(a)))
+    return d.join(v.select(*at), at, "left_semi")
+
+
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> DataFrame:
     """edges (a, b), nodes (node): (node, root), root the least node reachable. Least labels spread and jump until none changes;
     each round is checkpointed to the shared folder."""
@@ -132,11 +166,14 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 200) -> Dat
     raise RuntimeError("components did not settle")
 
 
-def zones_distributed(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None) -> DataFrame:
-    """(keys, zone, i, size) for regions beyond a task's memory: the zone's name is its least (keys, z, y, x)."""
+def zones_distributed(v: DataFrame, keys=("roi",), ndim: int = 3, flat_axis=None, depth_of: DataFrame | None = None) -> DataFrame:
+    """(keys, zone, i, size, depth) for regions beyond a task's memory: the zone's name is its least (keys, z, y, x)."""
     keys = list(keys)
     node = lambda *c: F.concat_ws("/", *(F.lpad(F.col(x).cast("string"), 10, "0") for x in c))
     p = pairs(v, keys, half_offsets(ndim, flat_axis)).filter("g1 = g2")
     e = p.select(node(*keys, "z1", "y1", "x1").alias("a"), node(*keys, *AXES).alias("b"))
-    rows = v.select(*keys, node(*keys, *AXES).alias("node"), F.col("g").alias("i"))
-    return rows.join(components(e, rows.select("node")), "node").groupBy(*keys, F.col("root").alias("zone"), "i").agg(F.count("*").alias("size"))
+    mask = v.select(*keys, *AXES) if depth_of is None else depth_of.select(*keys, *AXES).unionByName(v.select(*keys, *AXES)).distinct()
+    rows = v.select(*keys, *AXES, "g").join(depths_distributed(mask, keys, ndim, flat_axis), [*keys, *AXES])
+    rows = rows.select(*keys, node(*keys, *AXES).alias("node"), F.col("g").alias("i"), "depth")
+    zone = rows.join(components(e, rows.select("node")), "node").groupBy(*keys, F.col("root").alias("zone"), "i")
+    return zone.agg(F.count("*").alias("size"), F.min("depth").cast("long").alias("depth"))

@@ -133,6 +133,23 @@ _voxel(
 Q.add("shape_voxel_volume", lambda s, d: shape.shape(V.vox3d(s, d).filter("val >= 10"), spacing=(2.0, 1.0, 1.0)).select("roi", "VoxelVolume"), f"SELECT roi, count(*) * 2.0::DOUBLE AS \"VoxelVolume\" FROM ({sql.VOX3D}) WHERE val >= 10 GROUP BY roi")
 
 
+# Axes of a symmetric matrix in closed form: of three, by the cosines of a third of an angle.
+_cov = lambda a, b: f"covar_pop({Q._SPACE[a]}, {Q._SPACE[b]})"
+_SPREAD = f"c AS (SELECT roi, {', '.join(f'{_cov(a, b)} AS {a}{b}' for a, b in ('zz', 'yy', 'xx', 'zy', 'zx', 'yx'))}, count(*) AS n, {', '.join(f'avg({Q._SPACE[a]}) - sum({Q._SPACE[a]} * val) / sum(val) AS s{a}' for a in ORDER)} FROM ({sql.VOX3D}) WHERE val >= 10 GROUP BY roi)"
+Q.add(
+    "shape_axes_3d", lambda s, d: shape.shape(V.vox3d(s, d).filter("val >= 10"), spacing=(2.0, 1.0, 1.0)).select("roi", "VoxelVolume", "MajorAxisLength", "MinorAxisLength", "LeastAxisLength", "Elongation", "Flatness", "CentreOfMassShift"),
+    f"WITH {_SPREAD}, q AS (SELECT *, (zz + yy + xx) / 3 AS m, sqrt((pow(zz - (zz + yy + xx) / 3, 2) + pow(yy - (zz + yy + xx) / 3, 2) + pow(xx - (zz + yy + xx) / 3, 2) + 2 * (zy * zy + zx * zx + yx * yx)) / 6) AS p FROM c), "
+    "r AS (SELECT *, ((zz - m) * ((yy - m) * (xx - m) - yx * yx) - zy * (zy * (xx - m) - yx * zx) + zx * (zy * yx - (yy - m) * zx)) / (2 * p * p * p) AS det FROM q), f AS (SELECT *, acos(greatest(-1, least(1, det))) / 3 AS phi FROM r), "
+    "e AS (SELECT *, m + 2 * p * cos(phi) AS e1, m + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM f), g AS (SELECT *, 3 * m - e1 - e3 AS e2 FROM e) "
+    'SELECT roi, n * 2.0::DOUBLE AS "VoxelVolume", round(4 * sqrt(e1) + 1e-9, 6) AS "MajorAxisLength", round(4 * sqrt(e2) + 1e-9, 6) AS "MinorAxisLength", round(4 * sqrt(e3) + 1e-9, 6) AS "LeastAxisLength", round(sqrt(e2 / e1) + 1e-9, 6) AS "Elongation", round(sqrt(e3 / e1) + 1e-9, 6) AS "Flatness", round(sqrt(sz * sz + sy * sy + sx * sx) + 1e-9, 6) AS "CentreOfMassShift" FROM g',
+)
+Q.add(
+    "shape_axes_2d", lambda s, d: shape.shape2d(V.vox3d(s, d).filter("val >= 10"), ("roi", "z")).select("roi", "z", "PixelSurface", "MajorAxisLength", "MinorAxisLength", "Elongation"),
+    f"WITH c AS (SELECT roi, z, count(*) AS n, var_pop(y) AS yy, var_pop(x) AS xx, covar_pop(y, x) AS yx FROM ({sql.VOX3D}) WHERE val >= 10 GROUP BY roi, z), e AS (SELECT *, (yy + xx) / 2 + sqrt(pow((yy - xx) / 2, 2) + yx * yx) AS e1, greatest(0, (yy + xx) / 2 - sqrt(pow((yy - xx) / 2, 2) + yx * yx)) AS e2 FROM c) "
+    'SELECT roi, z, CAST(n AS DOUBLE) AS "PixelSurface", round(4 * sqrt(e1) + 1e-9, 6) AS "MajorAxisLength", round(4 * sqrt(e2) + 1e-9, 6) AS "MinorAxisLength", round(sqrt(e2 / e1) + 1e-9, 6) AS "Elongation" FROM e', ("roi", "z"),
+)
+
+
 # Sources and sinks, through files in the shared folder.
 def _image_files(spark, sf_dir) -> DataFrame:
     from gridlore.sources.volumes import VolumeSource

@@ -1,18 +1,22 @@
-"""Image files as tables: a Python data source for NIfTI, MetaImage and NRRD, and a NIfTI writer.
+"""Image files as tables: a Python data source for NIfTI, MetaImage, NRRD and series of DICOM slices, and a NIfTI writer.
 
     spark.dataSource.register(VolumeSource)
     spark.read.format("volume").load("folder or file")      # case_id, z, y, x, val
     df.write.format("volume").mode("append").save("folder")  # a .nii.gz for each case
 
-A partition is a file. The format is told by name and header; option format=nifti|metaimage|nrrd forces it. Option
-geometry=true gives a row for each file (size, spacing, origin) and reads no voxels.
+A partition is a file, or a folder of DICOM slices (.dcm), of which each series is a case. The format is told by name and
+header; option format=nifti|metaimage|nrrd|dicom forces it (dicom: all files of a folder are slices). Option geometry=true
+gives a row for each case (size, spacing, origin) and yields no voxels. A case is named by its file or folder; where names
+repeat, by the path below the folder that is read.
 """
 
 from __future__ import annotations
 
 import gzip
 import struct
+import uuid
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 VOXELS = "case_id string, z int, y int, x int, val double"
 GEOMETRY = "case_id string, ndim int, size array<int>, spacing array<double>, origin array<double>"
 ENDINGS = (".nii", ".nii.gz", ".hdr", ".mha", ".mhd", ".nrrd")
+SLICE = ".dcm"
 #: NIfTI's data type codes.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 META_TYPES = {"MET_UCHAR": "u1", "MET_CHAR": "i1", "MET_USHORT": "u2", "MET_SHORT": "i2", "MET_UINT": "u4", "MET_INT": "i4", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
@@ -151,7 +156,11 @@ def case_of(name: str) -> str:
 
 @dataclass
 class File(InputPartition):
+    """A file, or the slices of a folder."""
+
     path: str
+    case: str
+    slices: tuple = ()
 
     def __post_init__(self):
         self.value = self.path
@@ -181,12 +190,29 @@ class VolumeReader(DataSourceReader):
 
         store, top = _open(self.path)
         info = store.get_file_info(top)
-        names = [top] if info.is_file else [i.path for i in store.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file and i.path.lower().endswith(ENDINGS)]
-        return [File(n) for n in sorted(names)]
+        names = [top] if info.is_file else [i.path for i in store.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file]
+        is_slice = (lambda n: True) if self.format == "dicom" else lambda n: n.lower().endswith(SLICE)
+        folders: dict[str, list] = {}
+        for n in sorted(n for n in names if is_slice(n)):
+            folders.setdefault(n.rsplit("/", 1)[0], []).append(n)
+        out = [File(n, case_of(n)) for n in sorted(names) if n.lower().endswith(ENDINGS) and not is_slice(n)]
+        out += [File(f, f.rsplit("/", 1)[-1], tuple(own)) for f, own in folders.items()]
+        seen = Counter(f.case for f in out)
+        for f in out:
+            if seen[f.case] > 1:
+                f.case = f.path[len(top) :].strip("/")[: -len(f.path.rsplit("/", 1)[-1]) or None] + f.case if not f.slices else f.path[len(top) :].strip("/") or f.case
+        return out
 
     def read(self, file):
         store, _ = _open(self.path)
         get = lambda n: store.open_input_file(n).read()
+        if file.slices:
+            from gridlore.sources.dicom import read_series
+
+            found = read_series([get(n) for n in file.slices], not self.geometry)
+            for name, v in found.items():
+                yield from self._rows(file.case if len(found) == 1 else f"{file.case}-{name}", v)
+            return
         folder, low = file.path.rsplit("/", 1)[0], file.path.lower()
         raw, near = get(file.path), lambda n: get(f"{folder}/{n}")
         kind = self.format if self.format != "auto" else "metaimage" if low.endswith((".mha", ".mhd")) else "nrrd" if raw[:4] == b"NRRD" else "nifti"
@@ -196,7 +222,9 @@ class VolumeReader(DataSourceReader):
             v = read_nrrd(raw, not self.geometry, near)
         else:
             v = read_nifti(raw, not self.geometry, get(file.path[:-4] + ".img") if low.endswith(".hdr") and not self.geometry else None)
-        case = case_of(file.path)
+        yield from self._rows(file.case, v)
+
+    def _rows(self, case, v):
         if self.geometry:
             yield case, len(v.size), v.size, v.spacing, v.origin
             return
@@ -227,17 +255,26 @@ class VolumeWriter(DataSourceWriter):
             cases.setdefault(r["case_id"], []).append((r["z"], r["y"], r["x"], r["val"]))
         store, top = _open(self.path)
         store.create_dir(top, recursive=True)
+        names = []
         for case, at in cases.items():
             a = np.array(at, float)
             spot = a[:, :3].astype(int)
             grid = np.zeros(spot.max(0) + 1)
             grid[tuple(spot.T)] = a[:, 3]
-            with store.open_output_stream(f"{top}/{case}.nii.gz", compression=None) as f:
+            names.append((f"{top}/.{case}-{uuid.uuid4().hex}", f"{top}/{case}.nii.gz"))
+            with store.open_output_stream(names[-1][0], compression=None) as f:
                 f.write(write_nifti(grid, self.spacing))
-        return Wrote(list(cases))
+        return Wrote(names)
 
     def commit(self, messages):
-        pass
+        """Files get their names when all have been written."""
+        store, _ = _open(self.path)
+        for m in messages:
+            for hidden, name in m.names if m else ():
+                store.move(hidden, name)
 
     def abort(self, messages):
-        pass
+        store, _ = _open(self.path)
+        for m in messages:
+            for hidden, _name in m.names if m else ():
+                store.delete_file(hidden)

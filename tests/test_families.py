@@ -84,11 +84,25 @@ def test_zones_in_batches_and_distributed_agree(spark):
     rng = np.random.default_rng(1)
     rows = [(k, z, y, x, int(rng.integers(1, 4))) for k in range(6) for z in range(3) for y in range(4) for x in range(5) if rng.random() < 0.8]
     v = spark.createDataFrame(rows, "roi int, z int, y int, x int, g int").cache()
-    size = lambda df: sorted((r["roi"], r["i"], r["size"]) for r in df.collect())
+    size = lambda df: sorted((r["roi"], r["i"], r["size"], r["depth"]) for r in df.collect())
     alone = size(zones.zones(v))
-    assert alone == size(zones.zones(v, batches=2)) == size(zones.zones_distributed(v))
+    assert alone == size(zones.zones_distributed(v))
+    assert [x[:3] for x in alone] == [x[:3] for x in size(zones.zones(v, batches=2))]
 
 
+@pytest.mark.parametrize("how", [{}, {"flat_axis": 1}, {"ndim": 2}])
+def test_large_regions_take_another_way_to_the_same_zones(spark, how):
+    rng = np.random.default_rng(2)
+    rows = [(k, z, y, x, int(rng.integers(1, 3))) for k in range(3) for z in range(4) for y in range(4) for x in range(5) if rng.random() < (0.9 if k else 0.3)]
+    v = spark.createDataFrame(rows, "roi int, z int, y int, x int, g int").cache()
+    for family in (zones.glszm, zones.gldzm):
+        a, b = (family(v, limit=n, **how).orderBy("roi").toPandas() for n in (40, 10_000))
+        assert len(a) == 3 and np.allclose(a, b)
+    wide = v.select("roi", "z", "y", "x").distinct()
+    inner = v.filter("z > 0 and y > 0")
+    one, two = (sorted(tuple(r) for r in zones.zones_of_any_size(inner, depth_of=wide, limit=n).collect()) for n in (1, 10_000))
+    assert one == two
+
 def test_depth_counts_steps_to_the_outside(spark):
     cube = spark.createDataFrame([(0, z, y, x, 1) for z in range(5) for y in range(5) for x in range(5)], "roi int, z int, y int, x int, g int")
     assert zones.taxicab_depth(np.argwhere(np.ones((5, 5, 5)))).max() == 3
