@@ -59,7 +59,9 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFr
 def plan(docs: DataFrame, source: str = "source", key: str = "doc_id", weights=(1, 2, 3), max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """docs, which have `__mix_size` (words), with `__mix_source_size`, `__mix_target`, `__mix_copies` (how often the mix
     takes the document) and `__mix_times` (the virtual finish times of those copies)."""
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col("__mix_size"))
+    # 60 bits of an MD5, which SQL engines have alike.
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__mix_size").cast("string"))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     d = docs.withColumn("__mix_hash", h).withColumn("__mix_bucket", F.pmod(h, F.lit(BUCKETS)).cast("int"))
     d = d.withColumn("__mix_from", F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name")))
     by_bucket = stage(d.groupBy("__mix_from", "__mix_bucket").agg(F.sum("__mix_size").alias("words")), "mix-buckets")

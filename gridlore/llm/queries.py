@@ -60,6 +60,17 @@ def queries():
 _FOLD = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 
 _SQL = {
+    "op1_mix_sources": """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+e AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS id, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 15) AS BIGINT) AS h FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM e GROUP BY source),
+w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * ss AS cap, CAST(3 * ss AS DOUBLE) / ((rank - 1) % 3 + 1) AS ratio, CAST(sum(ss) OVER () AS BIGINT) AS total FROM s),
+l AS (SELECT *, CAST(total - coalesce(sum(cap) OVER o, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) AS level FROM w WINDOW o AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT first(level ORDER BY ratio, rank) AS free FROM l WHERE ratio > level),
+t AS (SELECT source, ss, rank, total, CASE WHEN ratio > level THEN weight * free ELSE CAST(cap AS DOUBLE) END AS target FROM l LEFT JOIN f ON true),
+c AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY h % 4096, h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin FROM e),
+k AS (SELECT rid, size, rank, h, id, total, CAST(n * ss + fin AS DOUBLE) / target AS v FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1), (2)) AS r(n) WHERE size > 0 AND target > 0),
+y AS (SELECT rid, count(*) AS copies FROM (SELECT rid, total, sum(size) OVER (ORDER BY v, rank, h, id ROWS UNBOUNDED PRECEDING) AS run FROM k) WHERE run <= total GROUP BY rid)
+SELECT doc_id, size, ss AS source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken, CAST(coalesce(copies, 0) AS INTEGER) AS copies FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source LEFT JOIN y USING (rid)""",
     "op4_decontaminate": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_FOLD} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_FOLD} AS w FROM benchmark),
 win AS (SELECT DISTINCT item, w[i:i + 12] AS g FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),

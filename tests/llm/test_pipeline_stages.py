@@ -7,8 +7,6 @@ from collections import Counter
 import corpus_pipeline as P
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from gridlore.llm import langid, mixing, sharding
 from tests.llm.test_cases import _plain
 from tests.llm.test_operators import FOLD, WORD, _components, _fingerprint, _least_capacity, _texts, lower
@@ -78,8 +76,7 @@ def test_decontaminate(spark, docs, rows):
 
 def test_mix_sources(spark, docs, rows):
     sized = [(r, len(WORD.findall(r[1] or ""))) for r in rows]
-    spark_hash = spark.createDataFrame([(k, r[0], n) for k, (r, n) in enumerate(sized)], "k int, doc_id long, n long").select("k", F.xxhash64(F.lit(17), "doc_id", "n").alias("h"))
-    h = {r["k"]: r["h"] for r in spark_hash.collect()}
+    h = [int(hashlib.md5(f"17|{'' if r[0] is None else r[0]}|{n}".encode()).hexdigest()[:15], 16) for r, n in sized]
     total = Counter()
     for r, n in sized:
         total[r[3]] += n
