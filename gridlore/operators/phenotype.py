@@ -152,8 +152,8 @@ def deviation_scores(x: np.ndarray, names: list[str], mode: str = "weighted_devi
     return np.sqrt((z**2 * w).sum(1))
 
 
-def _space(x, space: str, percent: float, seed: int):
-    return pca(x, percent, seed=seed) if space == "pca" else zscore(x)
+def _space(x, space: str, percent: float, seed: int, max_fit: int | None):
+    return pca(x, percent, max_fit, seed) if space == "pca" else zscore(x)
 
 
 def _by_region(maps: DataFrame, keys, f, out: str) -> DataFrame:
@@ -170,13 +170,14 @@ def _by_region(maps: DataFrame, keys, f, out: str) -> DataFrame:
     return maps.groupBy(*keys).applyInPandas(run, schema)
 
 
-def tiers(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 42, score: str = "weighted_deviation", threshold: float = 0.9) -> DataFrame:
-    """(keys, z, y, x, cluster, score, tier): three clusters, H, M and L by falling mean score."""
+def tiers(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 42, score: str = "weighted_deviation", threshold: float = 0.9, max_fit: int | None = 50_000) -> DataFrame:
+    """(keys, z, y, x, cluster, score, tier): three clusters, H, M and L by falling mean score. max_fit: voxels of a region that the
+    components and clusters are fitted to (None: all); all voxels are projected and labelled."""
     names = feature_columns(maps, keys)
 
     def run(pdf):
         x = pdf[names].to_numpy(float)
-        label = CLUSTERERS[clusterer](_space(x, space, percent, seed), 3, seed)
+        label = CLUSTERERS[clusterer](_space(x, space, percent, seed, max_fit), 3, seed, most=max_fit)
         s = deviation_scores(x, names, score, threshold)
         mean = [s[label == j].mean() if (label == j).any() else -np.inf for j in range(3)]
         rank = np.argsort(np.argsort(-np.array(mean), kind="stable"))
@@ -203,7 +204,7 @@ def tidied(raw: np.ndarray, parent: np.ndarray, least: int = 8, fraction: float
     return raw & parent if m.sum() < min_voxels else m
 
 
-def enriched(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 42, score: str = "weighted_deviation", rules: dict | None = None, postprocess: bool = True) -> DataFrame:
+def enriched(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str = "kmeans", percent: float = 95.0, seed: int = 42, score: str = "weighted_deviation", rules: dict | None = None, postprocess: bool = True, max_fit: int | None = 50_000) -> DataFrame:
     """The enriched subregion of each region of keys (a tier may be one of them): of two clusters the one with the higher mean score,
     tidied. (keys, z, y, x, cluster, score, pes, status): status is `completed`, or why there is none."""
     names, rules = feature_columns(maps, keys), RULES | (rules or {})
@@ -217,7 +218,7 @@ def enriched(maps: DataFrame, keys=("roi",), space: str = "pca", clusterer: str
         if len(x) < rules["min_parent_voxels"]:
             return out.assign(status="parent_too_small")
         x, kept = x[:, ok], [n for n, k in zip(names, ok) if k]
-        label = CLUSTERERS[clusterer](_space(x, space, percent, seed), 2, seed)
+        label = CLUSTERERS[clusterer](_space(x, space, percent, seed, max_fit), 2, seed, most=max_fit)
         s = deviation_scores(x, kept, score)
         mean = [s[label == j].mean() if (label == j).any() else -np.inf for j in range(2)]
         chosen = label == int(np.argmax(mean))
@@ -320,7 +321,7 @@ def top_voxels(v: DataFrame, n: int, keys=("roi",), value: str = "val") -> DataF
     return v.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def global_top(maps: DataFrame, keys=("roi",), k: int = 6, best: int = 3, least_region: int = 96, least: int = 16, seed: int = 42) -> DataFrame:
+def global_top(maps: DataFrame, keys=("roi",), k: int = 6, best: int = 3, least_region: int = 96, least: int = 16, seed: int = 42, max_fit: int | None = 50_000) -> DataFrame:
     """Control: of k clusters over a region, the `best` with the highest mean scores, if each is large enough."""
     names = feature_columns(maps, keys)
 
@@ -328,7 +329,7 @@ def global_top(maps: DataFrame, keys=("roi",), k: int = 6, best: int = 3, least_
         x, out = pdf[names].to_numpy(float), pdf[list(AXES)].assign(cluster=np.int32(-1), chosen=False)
         if len(x) < least_region:
             return out
-        label, s = kmeans(pca(x, seed=seed), k, seed), deviation_scores(x, names)
+        label, s = kmeans(pca(x, most=max_fit, seed=seed), k, seed, most=max_fit), deviation_scores(x, names)
         ranked = sorted((j for j in range(k) if (label == j).any()), key=lambda j: -s[label == j].mean())[:best]
         fit = len(ranked) == best and all((label == j).sum() >= least for j in ranked)
         return out.assign(cluster=label.astype(np.int32), chosen=np.isin(label, ranked) & fit)
@@ -351,10 +352,23 @@ def distance_core(mask: DataFrame, n: int, keys=("roi",)) -> DataFrame:
     return _by_region(mask, keys, run, "z int, y int, x int, depth double")
 
 
-def random_children(names: DataFrame, draws: int = 50, case: str = "case_id", seed: str = "0") -> DataFrame:
-    """Control: for each draw which of two children is taken: the parity of the first byte of a SHA-256."""
-    d = names.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    first = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(case).cast("string"), F.col("draw").cast("string")), 256), 1, 2), 16, 10).cast("int")
+def both_children(maps: DataFrame, tier: DataFrame, keys=("roi",), least: int = 16, **how) -> DataFrame:
+    """Control: of each tier both clusters, not tidied: (keys, z, y, x, tier, child: selected or other). It fails when read if a tier has no
+    enriched subregion or a child of fewer than `least` voxels."""
+    keys = list(keys)
+    child = F.when(F.col("pes"), "selected").otherwise("other")
+    e = fused(maps, tier, keys, postprocess=False, **how).withColumn("child", child)
+    by = lambda *c: Window.partitionBy(*keys, "tier", *c)
+    few = (F.count("*").over(by("child")) < least) | (F.count("*").over(by("child")) == F.count("*").over(by()))
+    fail = F.raise_error(F.concat(F.lit("no two children of enough voxels in tier "), "tier")).cast("string")
+    return e.withColumn("few", few).select(*keys, *AXES, "tier", F.when(F.col("few") | (F.col("status") != "completed"), fail).otherwise(F.col("child")).alias("child"))
+
+
+def random_children(names: DataFrame, draws: int = 50, case: str = "case_id", seed: int = 42) -> DataFrame:
+    """Control: for each draw and tier which child is taken, 0 for the selected and 1 for the other one: the parity of the first byte of
+    a SHA-256 of case, seed, draw and tier."""
+    d = names.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("*", F.explode(F.array(*map(F.lit, "HML"))).alias("tier"))
+    first = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col(case).cast("string"), F.lit(str(seed)), F.col("draw").cast("string"), "tier"), 256), 1, 2), 16, 10).cast("int")
     return d.withColumn("child", first % 2)
 
 

@@ -150,6 +150,9 @@ Q.add(
 )
 
 
+Q.add("phenotype_both_children", lambda s, d: phenotype.both_children(phenotype.drop_constant(m := Q.maps(s, d)), phenotype.tiers(phenotype.drop_constant(m))).groupBy("roi", "tier", "child").agg(F.count("*").alias("voxels")), None, ("roi", "tier", "child"))
+
+
 # Sources and sinks, through files in the shared folder.
 def _image_files(spark, sf_dir) -> DataFrame:
     from gridlore.sources.volumes import VolumeSource

@@ -205,8 +205,8 @@ add("phenotype_global_top", lambda s, d: phenotype.global_top(phenotype.drop_con
 voxel("phenotype_top_voxels", lambda s, d: phenotype.top_voxels(V.vox3d(s, d), 100), f"WITH v AS ({sql.VOX3D}) SELECT roi, z, y, x, round(val + 1e-9, 6) AS val, row_number() OVER (PARTITION BY roi ORDER BY val DESC, z, y, x)::DOUBLE AS rank FROM v QUALIFY rank <= 100")
 add("phenotype_summary", lambda s, d: phenotype.summarize(V.vox3d(s, d)), f"WITH v AS ({sql.VOX3D}) SELECT roi, 'val' AS feature, round(avg(val) + 1e-9, 6) AS mean, round(stddev_pop(val) + 1e-9, 6) AS std, round(quantile_cont(val, 0.1) + 1e-9, 6) AS p10, round(quantile_cont(val, 0.9) + 1e-9, 6) AS p90 FROM v GROUP BY roi", ("roi", "feature"))
 _Q["phenotype_random_children"] = (
-    lambda s, d: phenotype.random_children(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("case_id"))).select("case_id", F.col("draw").cast("long").alias("draw"), F.col("child").cast("long").alias("child")),
-    "SELECT s_suppkey AS case_id, draw, (strpos('0123456789abcdef', substr(sha256('0|' || s_suppkey || '|' || draw), 2, 1)) - 1) % 2 AS child FROM supplier CROSS JOIN range(50) r(draw)",
+    lambda s, d: phenotype.random_children(s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("case_id"))).select("case_id", F.col("draw").cast("long").alias("draw"), "tier", F.col("child").cast("long").alias("child")),
+    "SELECT s_suppkey AS case_id, draw, tier, (strpos('0123456789abcdef', substr(sha256(s_suppkey || '|42|' || draw || '|' || tier), 2, 1)) - 1) % 2 AS child FROM supplier CROSS JOIN range(50) r(draw) CROSS JOIN (VALUES ('H'), ('M'), ('L')) AS t(tier)",
 )
 
 

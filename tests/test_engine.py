@@ -151,6 +151,10 @@ def test_phenotype(spark):
     f = phenotype.interaction(pes).first()
     assert f["tier_h_volume_fraction"] == pytest.approx(1 / 3) and 0 <= f["spatial_entropy"] <= np.log2(3) + 1e-6
     assert phenotype.tiers(kept, clusterer="gmm").toPandas().groupby("tier").size().tolist() == [81, 81, 81]
+    children = phenotype.both_children(kept, phenotype.tiers(kept)).groupBy("tier", "child").count().collect()
+    assert {(r["tier"], r["child"]) for r in children} == {(t, c) for t in "HML" for c in ("selected", "other")} and sum(r["count"] for r in children) == 243
+    with pytest.raises(Exception, match="no two children"):
+        phenotype.both_children(kept, phenotype.tiers(kept), least=80).collect()
     h = phenotype.habitats(m.withColumnRenamed("firstorder_A", "val")).toPandas()
     assert (h.habitat == h.x // 3).all()
     small = phenotype.enriched(kept.filter("x = 0 and z = 0"))

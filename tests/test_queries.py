@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, duck, name):
     b = duck.execute(Q.oracle_sql()[name]).df()
     names = sorted(a.columns)
     assert names == sorted(b.columns)
-    order = [c for c in ("roi", "z", "y", "x", "cz", "cy", "cx", "id", "case_id", "draw", "family", "feature", "status") if c in names]
+    order = [c for c in ("roi", "z", "y", "x", "cz", "cy", "cx", "id", "case_id", "draw", "tier", "family", "feature", "status") if c in names]
     a, b = (d[names].sort_values(order).reset_index(drop=True) for d in (a, b))
     assert len(a) == len(b) > 0
     for c in names:
