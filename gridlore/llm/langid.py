@@ -40,25 +40,31 @@ def _start(rng, languages: int, hidden: int) -> dict:
 
 
 def _states(p: dict, side: str, grid: np.ndarray, keep: bool):
-    """States of one direction at every position: (positions, rows, hidden), and what backpropagation needs."""
+    """States of one direction at every position: (positions, rows, hidden), and what backpropagation needs.
+
+    Rows come by falling length, with padding (256) at their ends only: a step has just the rows that reach it, so a row begins afresh
+    at its own end from behind, whatever it shares a grid with."""
     x, u, c = p[f"x{side}"], p[f"u{side}"], p[f"c{side}"]
     k = len(u)
     steps, rows = grid.shape
-    out, held = np.empty((steps, rows, k), np.float32), []
-    h = np.zeros((rows, k), np.float32)
+    active = (grid < 256).sum(1)
+    out, held = np.zeros((steps, rows, k), u.dtype), []
+    h = np.zeros((rows if side == "f" else 0, k), u.dtype)
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+        n = active[t]
+        h = h[:n] if len(h) >= n else np.concatenate([h, np.zeros((n - len(h), k), u.dtype)])
         hu = h @ u
-        g = x[grid[t]]
+        g = x[grid[t, :n]]
         gates = np.tanh((g[:, : 2 * k] + hu[:, : 2 * k]) * np.float32(0.5))  # a logistic function of the sum is (1 + this) / 2
         gates += 1
         gates *= np.float32(0.5)
         z, r = gates[:, :k], gates[:, k:]
         a = hu[:, 2 * k :] + c
-        n = np.tanh(g[:, 2 * k :] + r * a)
+        new = np.tanh(g[:, 2 * k :] + r * a)
         if keep:
-            held.append((t, h, z, r, a, n))
-        h = n + z * (h - n)
-        out[t] = h
+            held.append((t, h, z, r, a, new))
+        h = new + z * (h - new)
+        out[t, :n] = h
     return out, held
 
 
@@ -68,7 +74,7 @@ def _softmax(s: np.ndarray) -> np.ndarray:
 
 
 def _gradient(p: dict, grid: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
-    """Mean cross-entropy of all positions that are no padding, and its gradient."""
+    """Mean cross-entropy of all positions that are no padding, and its gradient. Rows of the grid come by falling length."""
     hidden = len(p["uf"])
     sides = {s: _states(p, s, grid, True) for s in "fb"}
     both = np.concatenate([sides["f"][0], sides["b"][0]], -1)
@@ -85,15 +91,18 @@ def _gradient(p: dict, grid: np.ndarray, labels: np.ndarray) -> tuple[float, dic
     for s, part in (("f", d_both[..., :hidden]), ("b", d_both[..., hidden:])):
         u = p[f"u{s}"]
         dx, du, dc = np.zeros_like(p[f"x{s}"]), np.zeros_like(u), np.zeros_like(p[f"c{s}"])
-        carry = np.zeros((grid.shape[1], hidden), np.float32)
+        carry = np.zeros((0, hidden), u.dtype)
         for t, h, z, r, a, cand in reversed(sides[s][1]):
-            dh = carry + part[t]
+            n_rows = len(h)
+            dh = part[t, :n_rows].copy()
+            some = min(n_rows, len(carry))
+            dh[:some] += carry[:some]
             d_n = dh * (1 - z) * (1 - cand * cand)
             d_z = dh * (h - cand) * z * (1 - z)
             d_a = d_n * r
             d_r = d_n * a * r * (1 - r)
             d_hu = np.concatenate([d_z, d_r, d_a], 1)
-            np.add.at(dx, grid[t], np.concatenate([d_z, d_r, d_n], 1))
+            np.add.at(dx, grid[t, :n_rows], np.concatenate([d_z, d_r, d_n], 1))
             du += h.T @ d_hu
             dc += d_a.sum(0)
             carry = dh * z + d_hu @ u.T
@@ -110,12 +119,13 @@ def fit(texts: list[bytes], labels: list[int], languages: int, hidden: int = HID
     grid = np.full((len(texts), chunk), 256, np.int16)
     for i, t in enumerate(texts):
         grid[i, : min(chunk, len(t))] = np.frombuffer(t[:chunk], np.uint8)
-    y = np.array(labels)
+    y, reach = np.array(labels), (grid < 256).sum(1)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     share = 1.0 / np.bincount(y, minlength=languages)[y]
     share /= share.sum()
     for n in range(1, steps + 1):
         at = rng.choice(len(y), min(batch, len(y)), p=share)
+        at = at[np.argsort(-reach[at], kind="stable")]
         _, g = _gradient(p, np.ascontiguousarray(grid[at].T), y[at])
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         lr = rate * (1 - n / (steps + 1))
