@@ -31,6 +31,10 @@ from pyspark.sql.types import StructType
 from gridlore.llm.common import lean, stage
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
+#: Rows of a slim table for each task and file that writes it. Hadoop's local file system starts three processes for every file.
+ROWS_A_FILE = 50_000
+#: Rows that near copies lose up to which they are broadcast; the texts are then not shuffled.
+FEW_ROWS = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -119,6 +123,10 @@ def _links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
+def _files(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, group_limit: int = 4096, name: str = "fp") -> DataFrame:
     """Distinct fingerprints (long) to links (a, b) that connect all within distance: every pair's ends are connected."""
     if distance != DISTANCE:
@@ -126,7 +134,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, group_limit: int = 4096, nam
     found, todo, free, rounds = None, fps.select(F.col(name).alias("fp"), F.lit("").alias("path")), {"": (0, 64)}, 0
     while True:
         keyed = _variants(todo, free)
-        out = stage(_match(keyed, distance, group_limit if rounds < 3 else 1 << 62), "simhash-links")
+        out = stage(_match(keyed, distance, group_limit if rounds < 3 else 1 << 62).repartition(_files(todo.count())), "simhash-links")
         part = out.filter("path is null").select("a", "b")
         found = part if found is None else found.unionByName(part)
         rounds += 1
@@ -218,11 +226,13 @@ def _match(keyed: DataFrame, distance: int, limit: int) -> DataFrame:
 EDGES_A_FILE = 200_000
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, first_files: int | None = None) -> DataFrame:
     """Undirected edges (a, b) to (node, root), root the least node of its component; only nodes that have an edge.
 
-    Large-star and small-star in turn, until nothing changes. Each round's edges are written to the shared folder."""
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    Large-star and small-star in turn, until nothing changes. Each round's edges are written to the shared folder, the
+    first at most to first_files files."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    e = stage(e.coalesce(first_files) if first_files else e, "edges")
     before, files = None, -(-e.count() // EDGES_A_FILE) or 1  # rounds never have more edges than they began with
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -240,8 +250,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _by_fingerprint(f: DataFrame, key: str, group_limit: int) -> DataFrame:
     """Rows (key, fp, ...) to (fp, component_id), a row for each fingerprint."""
-    nodes = stage(f.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
-    roots = components(links(nodes, group_limit=group_limit))
+    files = _files(f.count())
+    nodes = stage(f.groupBy("fp").agg(F.min(key).alias("least")).coalesce(files), "simhash-nodes")
+    roots = components(links(nodes, group_limit=group_limit), first_files=files)
     linked = stage(roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "least"), "simhash-roots")
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
     changed = linked.join(best, "root").select(F.col("node").alias("fp"), "component", "root")
@@ -261,4 +272,11 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     slim = f.select(F.col(key), F.col("__simhash_fp").alias("fp"), F.col("__simhash_row"))
     roots = _by_fingerprint(slim, key, group_limit).select("fp", "root")
     first = slim.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("__simhash_row"))).alias("first"))
-    return f.join(first.select(F.col("first.__simhash_row").alias("__simhash_row")), "__simhash_row", "left_semi").drop("__simhash_fp", "__simhash_row")
+    rows = f.count()
+    kept = stage(first.select(F.col("first.__simhash_row").alias("__simhash_row")).coalesce(_files(rows)), "simhash-kept")
+    if rows - kept.count() <= FEW_ROWS:
+        lost = slim.select("__simhash_row").join(kept, "__simhash_row", "left_anti")
+        out = f.join(F.broadcast(lost), "__simhash_row", "left_anti")
+    else:
+        out = f.join(kept, "__simhash_row", "left_semi")
+    return out.drop("__simhash_fp", "__simhash_row")
